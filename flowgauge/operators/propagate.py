@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowgauge.functions.scalars import max_traffic_per_second
-from flowgauge.operators.rollup import scope, zero_if_null
+from flowgauge.operators.rollup import scope, task_lists, zero_if_null
 from flowgauge.runtime import cut_lineage
 
 
@@ -116,18 +116,18 @@ def whatif_traffic(
 
 
 def topology_listing(components: DataFrame, tasks: DataFrame, weights: DataFrame) -> DataFrame:
-    """One text row per component with its tasks and per edge with its weight."""
+    """One text row per component with its tasks and per edge with its weight.
+
+    A component with very many tasks continues on further rows.
+    """
     keys = scope(components, tasks, weights)
-    lists = tasks.groupBy(*keys, "component").agg(
-        F.sort_array(F.collect_list("task_id")).alias("t")
-    )
-    vertex = components.join(lists, [*keys, "component"], "left").select(
+    vertex = components.join(task_lists(tasks), [*keys, "component"], "left").select(
         *keys,
         F.lit("component").alias("item"),
         F.concat(
             F.col("component").cast("string"),
             F.lit(", task: ["),
-            F.coalesce(F.array_join(F.col("t").cast("array<string>"), ", "), F.lit("")),
+            F.coalesce(F.array_join(F.col("tasks").cast("array<string>"), ", "), F.lit("")),
             F.lit("]"),
         ).alias("text"),
     )

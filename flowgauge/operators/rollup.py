@@ -57,12 +57,13 @@ def snapshot_frame(metadata: DataFrame, samples: DataFrame) -> DataFrame:
     if keys:
         ranged = metadata.join(ends, keys)
     else:
-        # One row: the ends of a single application.
-        ranged = metadata.select(
-            "*",
-            ends.select("__lo").scalar().alias("__lo"),
-            ends.select("__hi").scalar().alias("__hi"),
-        ).filter(F.col("__lo").isNotNull())
+        # One row: the ends of a single application, read in one pass.
+        both = ends.select(F.struct("__lo", "__hi")).scalar()
+        ranged = (
+            metadata.withColumn("__ends", both)
+            .select(*metadata.columns, "__ends.__lo", "__ends.__hi")
+            .filter(F.col("__lo").isNotNull())
+        )
     return ranged.select(
         *metadata.columns, F.explode(F.sequence("__lo", "__hi")).alias("snapshot_id")
     )
@@ -337,16 +338,20 @@ def distinct_executors(executors_by_task: DataFrame) -> DataFrame:
     )
 
 
-def component_task_list(executors: DataFrame) -> DataFrame:
-    """Sorted task ids of each component, opened from its executor ranges.
+def task_lists(tasks: DataFrame, *, chunk: int = 4096) -> DataFrame:
+    """Sorted task ids per component, in lists of at most ``chunk`` ids.
 
-    The list is configuration: its length is the task count of one component.
+    A component with ids in several blocks of ``chunk`` has one row per block, so no
+    list grows with the application.
     """
-    return (
-        executor_tasks(executors)
-        .groupBy(*scope(executors), "component")
-        .agg(F.sort_array(F.collect_list("task_id")).alias("tasks"))
-    )
+    return tasks.groupBy(
+        *scope(tasks), "component", F.expr(f"task_id div {int(chunk)}").alias("chunk")
+    ).agg(F.sort_array(F.collect_set("task_id")).alias("tasks"))
+
+
+def component_task_list(executors: DataFrame, *, chunk: int = 4096) -> DataFrame:
+    """Task ids of each component, opened from its executor ranges."""
+    return task_lists(executor_tasks(executors), chunk=chunk)
 
 
 # --- graph shape -----------------------------------------------------------------

@@ -140,9 +140,7 @@ def tenant(executor: str = "executor") -> Column:
 
 def constraints(t: Telemetry) -> DataFrame:
     executors = t.executors.withColumn("topology_id", tenant())
-    wanted = executors.select("topology_id").distinct().withColumn(
-        "requested_workers", F.when(F.col("topology_id") == "t0", F.lit(3)).otherwise(F.lit(4))
-    )
+    wanted = executors.select("topology_id").distinct().withColumn("requested_workers", F.lit(2))
     return K.placement_constraints(
         t.placements.withColumn("topology_id", tenant()), executors, wanted
     )
@@ -709,11 +707,11 @@ def _(t):
 @query(
     "unallocated_executors",
     """select executor, component from fx_executors
-       where executor not in (select executor from fx_placements where hostname = 'w0')""",
+       where executor not in (select executor from fx_placements where hostname = 'w3')""",
 )
 def _(t):
     return K.unallocated_executors(
-        t.executors, t.placements.filter("hostname = 'w0'")
+        t.executors, t.placements.filter("hostname = 'w3'")
     ).select("executor", "component")
 
 
@@ -953,11 +951,12 @@ def _(t):
 
 @query(
     "component_task_list",
-    """select component, string_agg(cast(task_id as varchar), ',' order by task_id) as tasks
-       from fx_executor_tasks group by 1""",
+    """select component, task_id // 10 as chunk,
+              string_agg(cast(task_id as varchar), ',' order by task_id) as tasks
+       from fx_executor_tasks group by 1, 2""",
 )
 def _(t):
-    return R.component_task_list(t.executors).withColumn("tasks", text("tasks"))
+    return R.component_task_list(t.executors, chunk=10).withColumn("tasks", text("tasks"))
 
 
 # === F: windows ====================================================================
@@ -1121,13 +1120,11 @@ def _(t):
     """select allocation_id, round(score, 9) as score from fx_scores
        where (mean_load > 0 or total_traffic > 0)
          and allocation_id in (select allocation_id from fx_constraints group by 1
-                               having bool_and(workers_ok))
+                               having bool_and(workers_ok and exclusive_ok))
        order by score, allocation_id limit 1""",
 )
 def _(t):
-    # The adapter lets two applications meet on a worker, so only the counts are checked.
-    kept = constraints(t).withColumn("exclusive_ok", F.lit(True))
-    return K.best_placement(scores(t), kept).withColumn("score", r9("score"))
+    return K.best_placement(scores(t), constraints(t)).withColumn("score", r9("score"))
 
 
 @query(

@@ -259,8 +259,8 @@ VIEWS: dict[str, str] = {
         from fx_placements p""",
     "fx_constraints": """
         select u.allocation_id, u.topology_id, u.used_workers,
-               least(case when u.topology_id = 't0' then 3 else 4 end, s.n) as required_workers,
-               u.used_workers = least(case when u.topology_id = 't0' then 3 else 4 end, s.n)
+               least(2, s.n) as required_workers,
+               u.used_workers = least(2, s.n)
                  as workers_ok,
                x.exclusive_ok
         from (select allocation_id, topology_id, count(distinct (hostname, port)) as used_workers
