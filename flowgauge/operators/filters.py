@@ -25,13 +25,12 @@ def components_of_kind(components: DataFrame, kind: str) -> DataFrame:
 def component_by_name(components: DataFrame, name) -> DataFrame:
     """One component by name; the job fails when there is none."""
     hits = components.filter(F.col("component") == name)
-    found = hits.agg(F.count(F.lit(1)).alias("n")).scalar()
-    message = F.lit(f"no component named {name}")
-    checked = components.sparkSession.range(1).select(
-        F.when(found == 0, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)).alias("ok")
+    found = hits.agg(F.count(F.lit(1))).scalar()
+    complaint = F.raise_error(F.lit(f"no component named {name}"))
+    missing = components.sparkSession.range(1).filter(found == 0).select(
+        *[complaint.cast(f.dataType).alias(f.name) for f in components.schema]
     )
-    # Left join from the check keeps one row to fail on when nothing matches.
-    return checked.join(hits, F.col("ok"), "left").drop("ok")
+    return hits.unionByName(missing)
 
 
 def only_topology(df: DataFrame, topology_id: str) -> DataFrame:

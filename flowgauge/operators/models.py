@@ -158,7 +158,8 @@ def fit_distributed(
     *,
     hidden: int,
     tolerance: float,
-    max_rounds: int = 60,
+    max_rounds: int = 40,
+    min_gain: float = 0.01,
     seed: int = 7,
 ) -> DataFrame:
     """Fit one tanh network over any number of rows.
@@ -166,8 +167,8 @@ def fit_distributed(
     Each round is one pass: tasks sum the normal equations of their own rows for a
     few step lengths, Spark adds the partial sums, and the driver sees only those
     few hundred numbers to choose the next step (damped Gauss-Newton). It needs
-    tens of passes where gradient steps need thousands, and stops early once no
-    step length lowers the error by more than a millionth.
+    tens of passes where gradient steps need thousands, and stops early after three
+    passes in a row that each gain less than ``min_gain``.
     """
     inputs = list(inputs)
     k = nets.size(len(inputs), hidden)
@@ -175,12 +176,15 @@ def fit_distributed(
     data = cut_lineage(
         train.select(*[F.col(c).cast("double").alias(c) for c in (*inputs, target)])
     )
+    # Inputs are brought to one size for the search; the weights are scaled back.
+    tops = data.agg(*[F.max(F.abs(F.col(c))).alias(c) for c in inputs]).first()
+    scale = np.array([tops[c] or 1.0 for c in inputs])
 
     def sums_at(trials: list[np.ndarray]):
         def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros((len(trials), k * k + k + 2))
             for pdf in batches:
-                x, y = pdf[inputs].to_numpy(), pdf[target].to_numpy()
+                x, y = pdf[inputs].to_numpy() / scale, pdf[target].to_numpy()
                 total += [nets.normal_sums(w, x, y, hidden) for w in trials]
             yield pd.DataFrame({"i": np.arange(total.size), "v": total.ravel()})
 
@@ -191,7 +195,7 @@ def fit_distributed(
         return [nets.unpack_sums(sums, k) for sums in flat]
 
     w = nets.initial_weights(len(inputs), hidden, seed)
-    damping, rounds = 1e-2, 1
+    damping, rounds, idle = 1e-2, 1, 0
     jtj, jtr, sse, rows = sums_at([w])[0]
     while rows and sse / rows > tolerance and rounds < max_rounds and damping < 1e8:
         dampings = [damping / 10, damping, damping * 10]
@@ -207,8 +211,10 @@ def fit_distributed(
         gain = 1 - found[best][2] / sse
         w, damping = trials[best], max(dampings[best], 1e-12)
         jtj, jtr, sse, rows = found[best]
-        if gain < 1e-6:
+        idle = idle + 1 if gain < min_gain else 0
+        if idle == 3:
             break
+    w[hidden + 1 :].reshape(hidden, len(inputs) + 1)[:, :-1] /= scale
     mse = float(sse / rows) if rows else None
     return spark.createDataFrame(
         [(w.tolist(), mse, rounds)], "w array<double>, mse double, rounds int"
@@ -216,7 +222,7 @@ def fit_distributed(
 
 
 def fit_worker_model(
-    train: DataFrame, *, tolerance: float = 0.015, max_rounds: int = 60, seed: int = 7
+    train: DataFrame, *, tolerance: float = 0.015, max_rounds: int = 40, seed: int = 7
 ) -> DataFrame:
     """Fit host traffic and load -> CPU with one tanh 3-4-1 network over all rows."""
     return fit_distributed(
