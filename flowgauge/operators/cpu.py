@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowgauge.functions.scalars import int_div
-from flowgauge.operators.ordered import dense_position, previous, trailing
+from flowgauge.operators.ordered import dense_position, previous, scan, trailing
 
 
 def busy_idle(counters: DataFrame) -> DataFrame:
@@ -44,23 +44,37 @@ def rolling_cpu(
 ) -> DataFrame:
     """CPU percent per bucket and its whole-number mean over the last buckets.
 
-    ``samples`` has one cumulative ``cpu_ns`` reading per bucket and ``cores``.
+    ``samples`` has one cumulative ``cpu_ns`` reading per bucket and ``cores``. A
+    reading counts from the first positive one on; the counter never falls, so the
+    readings before it are the first ones and need no numbering of their own.
     """
     keys = list(keys)
-    seen = previous(samples, keys, order, {"__before": "cpu_ns"}, **slab)
+    seen = scan(
+        samples,
+        keys,
+        order,
+        totals={"__n": ("count", order)},
+        lags={"__before": "cpu_ns"},
+        **slab,
+    )
     budget = F.lit(bucket_seconds * 1_000_000_000) * F.col("cores")
     percent = int_div((F.col("cpu_ns") - F.col("__before")) * 100, budget)
-    used = seen.filter(F.col("__before") > 0).select(*keys, order, percent.alias("cpu_percent"))
-    placed = dense_position(used, keys, order, name="__pos", **slab)
+    used = seen.select(
+        *keys,
+        order,
+        (F.col("__n") - 1).alias("__pos"),
+        F.when(F.col("__before") > 0, percent).alias("cpu_percent"),
+    )
     sums = trailing(
-        placed,
+        used,
         keys,
         "__pos",
         {"__s": F.sum("cpu_percent"), "__n": F.count("cpu_percent")},
         rows=buckets,
-        **slab,
     )
-    return sums.select(*keys, order, "cpu_percent", int_div("__s", F.col("__n")).alias("cpu_usage"))
+    return sums.filter(F.col("cpu_percent").isNotNull()).select(
+        *keys, order, "cpu_percent", int_div("__s", F.col("__n")).alias("cpu_usage")
+    )
 
 
 def every_nth(
@@ -97,9 +111,10 @@ def _next_index(ts: np.ndarray, gap: int) -> np.ndarray:
 
 def _slab_steps(gap: int, slab_ms: int):
     def steps(pdf: pd.DataFrame) -> pd.DataFrame:
-        ts = np.sort(pdf["ts_ms"].to_numpy())
+        rows = pdf.sort_values("ts_ms")
+        ts, counter = rows["ts_ms"].to_numpy(), rows["cpu_ns"].to_numpy()
         n = len(ts)
-        slab = int(pdf["slab"].iloc[0])
+        slab = int(rows["slab"].iloc[0])
         after = _next_index(ts, gap)
         jump = np.where(after < n, after, np.arange(n))
         while True:
@@ -108,14 +123,16 @@ def _slab_steps(gap: int, slab_ms: int):
                 break
             jump = further
         candidates = min(np.searchsorted(ts, slab * slab_ms + gap, side="left") + 1, n)
-        leave = ts[jump[:candidates]]
+        leave = jump[:candidates]
         last_of_step = np.append(leave[1:] != leave[:-1], True)
+        leave = leave[last_of_step]
         return pd.DataFrame(
             {
-                "task_id": pdf["task_id"].iloc[0],
+                "task_id": rows["task_id"].iloc[0],
                 "slab": slab,
                 "enter_until": ts[:candidates][last_of_step],
-                "leave_ms": leave[last_of_step],
+                "leave_ms": ts[leave],
+                "leave_ns": counter[leave],
             }
         )
 
@@ -125,19 +142,20 @@ def _slab_steps(gap: int, slab_ms: int):
 def _chain(gap: int):
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         ordered = pdf.sort_values(["slab", "enter_until"])
-        last, slabs, entries = None, [], []
+        last, slabs, entries = (None, 0), [], []
         for slab, steps in ordered.groupby("slab", sort=False):
             slabs.append(slab)
             entries.append(last)
             until = steps["enter_until"].to_numpy()
-            at = 0 if last is None else int(np.searchsorted(until, last + gap, side="left"))
+            at = 0 if last[0] is None else int(np.searchsorted(until, last[0] + gap, side="left"))
             if at < len(until):
-                last = int(steps["leave_ms"].to_numpy()[at])
+                last = (int(steps["leave_ms"].iloc[at]), int(steps["leave_ns"].iloc[at]))
         return pd.DataFrame(
             {
                 "task_id": pdf["task_id"].iloc[0],
                 "slab": slabs,
-                "last_ms": pd.array(entries, dtype="Int64"),
+                "last_ms": pd.array([e[0] for e in entries], dtype="Int64"),
+                "last_ns": [e[1] for e in entries],
             }
         )
 
@@ -155,7 +173,15 @@ def _mark(gap: int):
         while at < len(ts):
             taken.append(at)
             at = int(after[at])
-        return rows.iloc[taken][["task_id", "ts_ms", "cpu_ns"]]
+        counter = rows["cpu_ns"].to_numpy()[taken]
+        return pd.DataFrame(
+            {
+                "task_id": rows["task_id"].iloc[0],
+                "ts_ms": ts[taken],
+                "cpu_ns": counter,
+                "used_ns": np.diff(counter, prepend=rows["last_ns"].iloc[0]),
+            }
+        )
 
     return mark
 
@@ -163,7 +189,8 @@ def _mark(gap: int):
 def accepted_readings(
     readings: DataFrame, *, gap_ms: int = 1000, slab_ms: int = 3_600_000
 ) -> DataFrame:
-    """Readings at least ``gap_ms`` apart, starting with the first of each task.
+    """Readings at least ``gap_ms`` apart, starting with the first of each task, and
+    the CPU time used since the one accepted before.
 
     Readings of one millisecond are reduced to the first before the shuffle; the
     counter never falls, so that is the smallest.
@@ -173,21 +200,22 @@ def accepted_readings(
         .agg(F.min("cpu_ns").alias("cpu_ns"))
         .withColumn("slab", F.expr(f"ts_ms div {int(slab_ms)}"))
     )
-    task_type = thinned.schema["task_id"].dataType.simpleString()
+    task = f"task_id {thinned.schema['task_id'].dataType.simpleString()}"
     entries = (
-        thinned.select("task_id", "slab", "ts_ms")
-        .groupBy("task_id", "slab")
+        thinned.groupBy("task_id", "slab")
         .applyInPandas(
             _slab_steps(gap_ms, slab_ms),
-            f"task_id {task_type}, slab bigint, enter_until bigint, leave_ms bigint",
+            f"{task}, slab bigint, enter_until bigint, leave_ms bigint, leave_ns bigint",
         )
         .groupBy("task_id")
-        .applyInPandas(_chain(gap_ms), f"task_id {task_type}, slab bigint, last_ms bigint")
+        .applyInPandas(_chain(gap_ms), f"{task}, slab bigint, last_ms bigint, last_ns bigint")
     )
     return (
         thinned.join(entries, ["task_id", "slab"])
         .groupBy("task_id", "slab")
-        .applyInPandas(_mark(gap_ms), f"task_id {task_type}, ts_ms bigint, cpu_ns bigint")
+        .applyInPandas(
+            _mark(gap_ms), f"{task}, ts_ms bigint, cpu_ns bigint, used_ns bigint"
+        )
     )
 
 
@@ -195,10 +223,7 @@ def task_cycles(
     readings: DataFrame, *, speed_hz: int, cores: int, gap_ms: int = 1000, slab_ms: int = 3_600_000
 ) -> DataFrame:
     """CPU cycles each task used since its last accepted reading, truncated."""
-    taken = accepted_readings(readings, gap_ms=gap_ms, slab_ms=slab_ms)
-    seen = previous(taken, ["task_id"], "ts_ms", {"__before": "cpu_ns"}, width=1000 * slab_ms)
     cycles_per_ns = speed_hz / cores / 1_000_000_000
-    used = F.col("cpu_ns") - F.coalesce("__before", F.lit(0))
-    return seen.select(
-        "task_id", "ts_ms", (used * F.lit(cycles_per_ns)).cast("bigint").alias("cycles")
+    return accepted_readings(readings, gap_ms=gap_ms, slab_ms=slab_ms).select(
+        "task_id", "ts_ms", (F.col("used_ns") * F.lit(cycles_per_ns)).cast("bigint").alias("cycles")
     )

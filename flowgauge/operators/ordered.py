@@ -34,41 +34,74 @@ def _with_slab(df: DataFrame, order: str, width: int) -> DataFrame:
     return df.withColumn(_SLAB, F.expr(f"`{order}` div {int(width)}"))
 
 
-def running(
+def scan(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
-    outputs: dict[str, tuple[str, str]],
     *,
+    totals: dict[str, tuple[str, str]] | None = None,
+    lags: dict[str, str] | None = None,
     width: int = SLAB_WIDTH,
 ) -> DataFrame:
-    """Running aggregates from the first row of a key up to the current row.
+    """Running aggregates and values one row back, with one shuffle of the rows.
 
-    ``outputs`` maps a new column to ``(function, column)`` with function one of
-    ``sum``, ``max``, ``count``. Rows that tie on ``order`` are taken one by one.
+    ``totals`` maps a new column to ``(function, column)``, function being ``sum``,
+    ``max`` or ``count``, over the first row of the key up to the current one.
+    ``lags`` maps a new column to the column it repeats from one row earlier. Rows
+    that tie on ``order`` are taken one by one.
     """
-    keys = list(keys)
+    keys, totals, lags = list(keys), totals or {}, lags or {}
     rows = _with_slab(df, order, width)
+    # One max_by per column keeps number columns in hash aggregation.
     summary = rows.groupBy(*keys, _SLAB).agg(
-        *[_RUNNING[fn](col).alias(f"__carry_{name}") for name, (fn, col) in outputs.items()]
+        *[_RUNNING[fn](col).alias(f"__carry_{name}") for name, (fn, col) in totals.items()],
+        *[F.max_by(col, order).alias(f"__carry_{name}") for name, col in lags.items()],
     )
-    before = W.partitionBy(*keys).orderBy(_SLAB).rowsBetween(W.unboundedPreceding, -1)
+    across = W.partitionBy(*keys).orderBy(_SLAB)
+    before = across.rowsBetween(W.unboundedPreceding, -1)
+    carried = {
+        **{
+            name: (F.max if fn == "max" else F.sum)(f"__carry_{name}").over(before)
+            for name, (fn, _) in totals.items()
+        },
+        **{name: F.lag(f"__carry_{name}").over(across) for name in lags},
+    }
     carry = summary.select(
-        *keys,
-        _SLAB,
-        *[
-            (F.max if fn == "max" else F.sum)(f"__carry_{name}").over(before).alias(f"__carry_{name}")
-            for name, (fn, _) in outputs.items()
-        ],
+        *keys, _SLAB, *[value.alias(f"__carry_{name}") for name, value in carried.items()]
     )
-    here = W.partitionBy(*keys, _SLAB).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    local = rows.select("*", *[_RUNNING[fn](col).over(here).alias(name) for name, (fn, col) in outputs.items()])
+    inside = W.partitionBy(*keys, _SLAB).orderBy(order)
+    so_far = inside.rowsBetween(W.unboundedPreceding, 0)
+    local = rows.select(
+        "*",
+        F.row_number().over(inside).alias("__row"),
+        *[_RUNNING[fn](col).over(so_far).alias(f"__here_{name}") for name, (fn, col) in totals.items()],
+        *[F.lag(col).over(inside).alias(f"__here_{name}") for name, col in lags.items()],
+    )
+    first = F.col("__row") == 1
+
+    def merged(name: str) -> Column:
+        then, here = F.col(f"__carry_{name}"), F.col(f"__here_{name}")
+        if name in lags:
+            return F.when(first, then).otherwise(here)
+        return _MERGE[totals[name][0]](then, here)
+
     return local.join(carry, [*keys, _SLAB], "left").select(
-        *df.columns,
-        *[_MERGE[fn](F.col(f"__carry_{name}"), F.col(name)).alias(name) for name, (fn, _) in outputs.items()],
+        *df.columns, *[merged(name).alias(name) for name in carried]
     )
 
 
+def running(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    outputs: dict[str, tuple[str, str]],
+    *,
+    width: int = SLAB_WIDTH,
+) -> DataFrame:
+    """Running aggregates only, see :func:`scan`."""
+    return scan(df, keys, order, totals=outputs, width=width)
+
+
 def previous(
     df: DataFrame,
     keys: Sequence[str],
@@ -77,20 +110,8 @@ def previous(
     *,
     width: int = SLAB_WIDTH,
 ) -> DataFrame:
-    """``lag`` by one row: each new column holds the named column one row earlier."""
-    keys = list(keys)
-    rows = _with_slab(df, order, width)
-    picked = F.struct(*[F.col(col).alias(f"__{name}") for name, col in outputs.items()])
-    summary = rows.groupBy(*keys, _SLAB).agg(F.max_by(picked, order).alias("__last"))
-    carry = summary.select(
-        *keys, _SLAB, F.lag("__last").over(W.partitionBy(*keys).orderBy(_SLAB)).alias("__carry")
-    )
-    here = W.partitionBy(*keys, _SLAB).orderBy(order)
-    local = rows.select("*", F.lag(picked).over(here).alias("__prev"))
-    joined = local.join(carry, [*keys, _SLAB], "left").withColumn(
-        "__prev", F.coalesce("__prev", "__carry")
-    )
-    return joined.select(*df.columns, *[F.col(f"__prev.__{name}").alias(name) for name in outputs])
+    """Values one row back only, see :func:`scan`."""
+    return scan(df, keys, order, lags=outputs, width=width)
 
 
 def dense_position(

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowgauge.functions.scalars import decimal_comma, int_div, ns_to_ms
@@ -25,56 +25,74 @@ PLOT_HEADER_EMITTED = (
 )
 
 
+def _ends(log: DataFrame, ts: str) -> DataFrame:
+    """First and last time of each log, in one pass over one column."""
+    return log.groupBy(*scope(log)).agg(F.min(ts).alias("__begin"), F.max(ts).alias("__end"))
+
+
+def _second_of(ts: Column, begin: Column) -> Column:
+    return F.greatest(int_div(ts - begin + 999, 1000) - 1, F.lit(0).cast("bigint"))
+
+
 def anchored_second(df: DataFrame, ts: str = "ts_ms") -> DataFrame:
     """Add ``second``: index of the anchored second each row falls into."""
-    keys = scope(df)
+    keys, ends = scope(df), _ends(df, ts)
     if keys:
-        dated = df.join(df.groupBy(*keys).agg(F.min(ts).alias("__begin")), keys)
+        dated = df.join(ends, keys)
+        begin = F.col("__begin")
     else:
-        dated = df.withColumn("__begin", df.agg(F.min(ts)).scalar())
-    index = int_div(F.col(ts) - F.col("__begin") + 999, 1000) - 1
-    return dated.withColumn("second", F.greatest(index, F.lit(0).cast("bigint"))).drop("__begin")
+        dated = df
+        begin = ends.select(F.struct("__begin", "__end")).scalar()["__begin"]
+    return dated.select(*df.columns, _second_of(F.col(ts), begin).alias("second"))
+
+
+def _join_seconds(seconds: DataFrame, series: DataFrame, fill: int | None) -> DataFrame:
+    keys = [*scope(series), "second"]
+    filled = seconds.join(series, keys, "left")
+    if fill is None:
+        return filled
+    return filled.fillna(fill, [c for c in series.columns if c not in keys])
 
 
 def fill_gaps(series: DataFrame, fill: int | None = None) -> DataFrame:
     """Add the missing seconds from 0 to the last one, with NULL or ``fill``."""
-    keys = scope(series)
-    bounds = series.groupBy(*keys).agg(
+    bounds = series.groupBy(*scope(series)).agg(
         F.min(F.lit(0).cast("bigint")).alias("lo"), F.max("second").cast("bigint").alias("hi")
     )
-    seconds = integer_range(bounds, "lo", "hi", "second")
-    filled = seconds.join(series, [*keys, "second"], "left")
-    if fill is None:
-        return filled
-    return filled.fillna(fill, [c for c in series.columns if c not in (*keys, "second")])
+    return _join_seconds(integer_range(bounds, "lo", "hi", "second"), series, fill)
+
+
+def _every_second(log: DataFrame, ts: str = "ts_ms", *, drop_last: bool = False) -> DataFrame:
+    """All seconds of a log, from its ends alone, so the sums are not computed twice."""
+    last = _second_of(F.col("__end"), F.col("__begin")) - (1 if drop_last else 0)
+    bounds = _ends(log, ts).select(
+        *scope(log), F.lit(0).cast("bigint").alias("lo"), last.alias("hi")
+    )
+    return integer_range(bounds, "lo", "hi", "second")
 
 
 def latency_per_second(log: DataFrame) -> DataFrame:
     """Whole-number mean latency in ms per second; NULL where no event fell."""
-    keys = scope(log)
+    keys = [*scope(log), "second"]
     sums = (
         anchored_second(log)
-        .groupBy(*keys, "second")
+        .groupBy(*keys)
         .agg(F.sum(ns_to_ms("latency_ns")).alias("s"), F.count(F.lit(1)).alias("n"))
     )
-    return fill_gaps(sums.select(*keys, "second", int_div("s", F.col("n")).alias("latency_ms")))
+    means = sums.select(*keys, int_div("s", F.col("n")).alias("latency_ms"))
+    return _join_seconds(_every_second(log), means, None)
 
 
 def throughput_per_second(log: DataFrame) -> DataFrame:
     """Number of events per second; NULL where no event fell."""
     counts = anchored_second(log).groupBy(*scope(log), "second").agg(F.count(F.lit(1)).alias("n"))
-    return fill_gaps(counts)
+    return _join_seconds(_every_second(log), counts, None)
 
 
 def merged_throughput_per_second(log: DataFrame) -> DataFrame:
     """Sum of partial counts per second, 0 in gaps, without the unfinished last second."""
-    keys = scope(log)
-    sums = anchored_second(log).groupBy(*keys, "second").agg(F.sum("cnt").alias("n"))
-    filled = fill_gaps(sums, 0)
-    if keys:
-        ends = sums.groupBy(*keys).agg(F.max("second").alias("__end"))
-        return filled.join(ends, keys).filter("second < __end").drop("__end")
-    return filled.filter(F.col("second") < sums.agg(F.max("second")).scalar())
+    sums = anchored_second(log).groupBy(*scope(log), "second").agg(F.sum("cnt").alias("n"))
+    return _join_seconds(_every_second(log, drop_last=True), sums, 0)
 
 
 def running_second(reports: DataFrame) -> DataFrame:

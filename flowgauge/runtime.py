@@ -18,14 +18,11 @@ def shared_dir(spark: SparkSession) -> str:
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="flowgauge-")
-        spark.conf.set("spark.checkpoint.dir", configured)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(configured)
-    return configured
+        if not configured and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="flowgauge-"))
+    return configured or context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
