@@ -138,19 +138,43 @@ def edge_tuple_size(tuplesize: DataFrame, tasks: DataFrame, edges: DataFrame) ->
 # --- hosts ---------------------------------------------------------------------
 
 
-def worker_traffic(traffic: DataFrame, load: DataFrame, direction: str) -> DataFrame:
-    """Traffic into (``in``) or out of (``out``) the tasks each host runs."""
+def host_frame(load: DataFrame, hosts: DataFrame | None) -> DataFrame:
+    """Hosts per snapshot: those that carry load, or every listed one."""
+    keys = scope(load, extra=("snapshot_id",))
+    if hosts is None:
+        return load.select(*keys, F.col("worker_hostname").alias("host")).distinct()
+    if "snapshot_id" in load.columns:
+        return snapshot_frame(hosts, load)
+    return hosts
+
+
+def worker_traffic(
+    traffic: DataFrame, load: DataFrame, direction: str, hosts: DataFrame | None = None
+) -> DataFrame:
+    """Traffic into (``in``) or out of (``out``) the tasks each host runs, 0 for none.
+
+    ``load`` has one row per task and snapshot. ``hosts`` lists the hosts to report;
+    by default those with a task.
+    """
     if direction not in ("in", "out"):
         raise ValueError("direction is 'in' or 'out'")
     summed = stream_in_task(traffic) if direction == "in" else stream_out_task(traffic)
     value = f"traffic_{direction}"
     keys = scope(traffic, load, extra=("snapshot_id",))
+    at = [*keys, "host"]
     # Sum per task first: the join then meets one row per task and snapshot.
-    joined = load.select(*keys, "task_id", "worker_hostname").distinct().join(
-        summed, [*keys, "task_id"], "left"
+    per_host = (
+        load.select(*keys, "task_id", F.col("worker_hostname").alias("host"))
+        .join(summed, [*keys, "task_id"], "left")
+        .groupBy(*at)
+        .agg(zero_if_null(F.sum(value)).alias("traffic"))
     )
-    return joined.groupBy(*keys, F.col("worker_hostname").alias("host")).agg(
-        zero_if_null(F.sum(value)).alias("traffic")
+    if hosts is None:
+        return per_host
+    return (
+        host_frame(load, hosts)
+        .join(per_host, at, "left")
+        .select(*at, zero_if_null("traffic").alias("traffic"))
     )
 
 
@@ -169,24 +193,25 @@ def worker_cpu_usage(worker: DataFrame) -> DataFrame:
     )
 
 
-def worker_points(traffic: DataFrame, load: DataFrame, worker: DataFrame) -> DataFrame:
+def worker_points(
+    traffic: DataFrame, load: DataFrame, worker: DataFrame, hosts: DataFrame | None = None
+) -> DataFrame:
     """Input traffic, output traffic, load and CPU percent per host and snapshot."""
     keys = scope(traffic, load, extra=("snapshot_id",))
     at = [*keys, "host"]
-    cpu_at = [c for c in ("snapshot_id", "host") if c in (*worker.columns, "host")]
+    cpu_at = [c for c in ("snapshot_id",) if c in worker.columns]
     into = worker_traffic(traffic, load, "in").withColumnRenamed("traffic", "traffic_in")
     out = worker_traffic(traffic, load, "out").withColumnRenamed("traffic", "traffic_out")
+    loaded = worker_load(load)
+    if hosts is not None:
+        loaded = host_frame(load, hosts).join(loaded, at, "left")
     return (
-        worker_load(load)
-        .join(into, at, "left")
+        loaded.join(into, at, "left")
         .join(out, at, "left")
-        .join(worker_cpu_usage(worker), cpu_at, "left")
+        .join(worker_cpu_usage(worker), [*cpu_at, "host"], "left")
         .select(
             *at,
-            zero_if_null("traffic_in").alias("traffic_in"),
-            zero_if_null("traffic_out").alias("traffic_out"),
-            "load",
-            zero_if_null("cpu").alias("cpu"),
+            *[zero_if_null(c).alias(c) for c in ("traffic_in", "traffic_out", "load", "cpu")],
         )
     )
 

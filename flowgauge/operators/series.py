@@ -31,7 +31,8 @@ def _ends(log: DataFrame, ts: str) -> DataFrame:
 
 
 def _second_of(ts: Column, begin: Column) -> Column:
-    return F.greatest(int_div(ts - begin + 999, 1000) - 1, F.lit(0).cast("bigint"))
+    index = int_div(ts - begin + 999, 1000) - 1
+    return F.when(index < 0, F.lit(0).cast("bigint")).otherwise(index)
 
 
 def anchored_second(df: DataFrame, ts: str = "ts_ms") -> DataFrame:

@@ -64,6 +64,11 @@ def text(c: str) -> Column:
     return F.array_join(F.col(c).cast("array<string>"), ",")
 
 
+def as_double(df: DataFrame, *columns: str) -> DataFrame:
+    """Whole numbers that may be NULL, in the type both engines hand over alike."""
+    return df.withColumns({c: F.col(c).cast("double") for c in columns})
+
+
 # --- shared intermediate results ---------------------------------------------------
 
 
@@ -640,13 +645,18 @@ def _(t):
     )
 
 
-@query("zip_by_position", "select second, data_driver, spout, latency from fx_zipped")
+@query(
+    "zip_by_position",
+    """select second, data_driver, spout::double as spout, latency::double as latency
+       from fx_zipped""",
+)
 def _(t):
-    return E.zip_by_position(
+    zipped_rows = E.zip_by_position(
         E.merged_throughput_per_second(t.throughput).withColumnRenamed("n", "data_driver"),
         E.throughput_per_second(t.latency).withColumnRenamed("n", "spout"),
         E.latency_per_second(t.latency).withColumnRenamed("latency_ms", "latency"),
     )
+    return as_double(zipped_rows, "spout", "latency")
 
 
 @query(
@@ -832,14 +842,14 @@ def _(t):
     return R.cluster_capacity(t.node)
 
 
-@query("latency_per_second", "select second, latency_ms from fx_latency_series")
+@query("latency_per_second", "select second, latency_ms::double as latency_ms from fx_latency_series")
 def _(t):
-    return E.latency_per_second(t.latency)
+    return as_double(E.latency_per_second(t.latency), "latency_ms")
 
 
-@query("throughput_per_second", "select second, n from fx_throughput_series")
+@query("throughput_per_second", "select second, n::double as n from fx_throughput_series")
 def _(t):
-    return E.throughput_per_second(t.latency)
+    return as_double(E.throughput_per_second(t.latency), "n")
 
 
 @query("merged_throughput_per_second", "select second, n from fx_merged_series")
@@ -975,14 +985,14 @@ def _(t):
 
 @query(
     "moving_average",
-    """select second, data_driver, spout, latency, round(data_driver_avg, 9) as data_driver_avg,
+    """select second, data_driver, spout::double as spout, latency::double as latency,
+              round(data_driver_avg, 9) as data_driver_avg,
               round(spout_avg, 9) as spout_avg, round(latency_avg, 9) as latency_avg
        from fx_smooth""",
 )
 def _(t):
-    return zipped(t).withColumns(
-        {c: r9(c) for c in ("data_driver_avg", "spout_avg", "latency_avg")}
-    )
+    smooth = as_double(zipped(t), "spout", "latency")
+    return smooth.withColumns({c: r9(c) for c in ("data_driver_avg", "spout_avg", "latency_avg")})
 
 
 @query(
@@ -1011,11 +1021,12 @@ def _(t):
 @query(
     "previous_snapshot",
     """select snapshot_id, src, dst, weight,
-              lag(weight) over (partition by src, dst order by snapshot_id) as previous_weight
+              lag(weight) over (partition by src, dst order by snapshot_id)::double
+                as previous_weight
        from fx_edge_traffic""",
 )
 def _(t):
-    return A.previous_snapshot(weights(t))
+    return as_double(A.previous_snapshot(weights(t)), "previous_weight")
 
 
 @query(
@@ -1212,12 +1223,13 @@ def _(t):
 
 @query(
     "csv_field",
-    """select row_id, try_cast(split_part(split_part(line, '*', 1), ',', 2) as bigint) as field
+    """select row_id, try_cast(split_part(split_part(line, '*', 1), ',', 2) as bigint)::double as field
        from fx_lines""",
 )
 def _(t):
     plain = F.substring_index("line", "*", 1)
-    return t.lines.select("row_id", S.csv_field(plain, 1, strict=False).alias("field"))
+    field = S.csv_field(plain, 1, strict=False)
+    return t.lines.select("row_id", field.cast("double").alias("field"))
 
 
 @query(

@@ -20,25 +20,25 @@ VIEWS: dict[str, str] = {
         select a.r_regionkey as src, b.r_regionkey as dst
         from region a join region b on a.r_regionkey < b.r_regionkey""",
     "fx_traffic": f"""
-        select year(o_orderdate) - 1995 as snapshot_id, s_nationkey as source_task_id,
+        select cast(year(o_orderdate) - 1995 as int) as snapshot_id, s_nationkey as source_task_id,
                c_nationkey as destination_task_id, max(o_orderdate) as ts, count(*) as traffic
         {_SHIPMENTS}
         join nation ns on ns.n_nationkey = s_nationkey join nation nc on nc.n_nationkey = c_nationkey
         where ns.n_regionkey < nc.n_regionkey group by 1, 2, 3""",
     "fx_tuplesize": f"""
-        select year(o_orderdate) - 1995 as snapshot_id, s_nationkey as source_task_id,
+        select cast(year(o_orderdate) - 1995 as int) as snapshot_id, s_nationkey as source_task_id,
                c_nationkey as destination_task_id,
                cast(sum(cast(floor(l_extendedprice) as bigint)) as bigint) as tuplesizesum,
                count(*) as tuplesizecount
         {_SHIPMENTS} group by 1, 2, 3""",
     "fx_load": """
-        select year(o_orderdate) - 1995 as snapshot_id, c_nationkey as task_id,
+        select cast(year(o_orderdate) - 1995 as int) as snapshot_id, c_nationkey as task_id,
                concat('w', cast(c_nationkey % 4 as varchar)) as worker_hostname,
                6700 + c_nationkey % 2 as worker_port, max(o_orderdate) as ts,
                cast(sum(cast(floor(o_totalprice) as bigint)) as bigint) as load
         from orders join customer on c_custkey = o_custkey group by 1, 2, 3, 4""",
     "fx_worker": """
-        select year(o_orderdate) - 1995 as snapshot_id,
+        select cast(year(o_orderdate) - 1995 as int) as snapshot_id,
                concat('w', cast(c_nationkey % 4 as varchar)) as hostname, 6700 as port,
                max(o_orderdate) as ts, cast(count(*) % 101 as int) as cpu_usage
         from orders join customer on c_custkey = o_custkey group by 1, 2""",
@@ -92,7 +92,7 @@ VIEWS: dict[str, str] = {
         where word <> '' group by word""",
     # --- results that later queries build on -----------------------------------
     "fx_edge_traffic": """
-        select s.snapshot_id, e.src, e.dst, cast(coalesce(sum(t.traffic), 0) as bigint) as weight
+        select cast(s.snapshot_id as int) as snapshot_id, e.src, e.dst, cast(coalesce(sum(t.traffic), 0) as bigint) as weight
         from fx_edges e
         cross join (select unnest(generate_series((select min(snapshot_id) from fx_traffic),
                                                   (select max(snapshot_id) from fx_traffic)))
@@ -125,7 +125,7 @@ VIEWS: dict[str, str] = {
         select snapshot_id, source_task_id as task_id, cast(sum(traffic) as bigint) as traffic_out
         from fx_traffic group by 1, 2""",
     "fx_task_points": """
-        select s.snapshot_id, t.task_id, t.component,
+        select cast(s.snapshot_id as int) as snapshot_id, t.task_id, t.component,
                coalesce(case when c.kind = 'spout' then o.traffic_out else i.traffic_in end, 0)
                  as traffic,
                coalesce(l.load, 0) as load

@@ -195,8 +195,8 @@ def host_core_inventory(lines: DataFrame) -> DataFrame:
     fields = lines.filter(has_colon).select(
         "host",
         "line_no",
-        F.trim(F.regexp_replace(F.split_part("text", F.lit(":"), F.lit(1)), r"\s+$", "")).alias("k"),
-        F.trim(F.regexp_replace("text", r"^[^:]*:\s*", "")).alias("v"),
+        F.regexp_extract("text", r"^\s*([^:]*?)\s*:", 1).alias("k"),
+        F.regexp_extract("text", r"^[^:]*:\s*(.*?)\s*$", 1).alias("v"),
     )
     in_order = W.partitionBy("host").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
     blocks = fields.withColumn("block", F.sum((F.col("k") == "processor").cast("int")).over(in_order))

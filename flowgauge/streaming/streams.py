@@ -27,6 +27,8 @@ from flowgauge.sources.writers import newest_per_key
 
 BUCKET = "10 seconds"
 WATERMARK = "10 minutes"
+# Tuple sizes are published at most once a minute.
+SIZE_TRIGGER = {"processingTime": "60 seconds"}
 
 
 def file_stream(spark: SparkSession, folder: str, schema: StructType, glob: str = "*") -> DataFrame:
@@ -74,7 +76,10 @@ def latency_stream(
 
 
 def tuple_size_stream(tuples: DataFrame, value_columns: Sequence[str]) -> DataFrame:
-    """Cumulative bytes and count per task and input stream, for update mode."""
+    """Cumulative bytes and count per task and input stream.
+
+    Run it in update mode with :data:`SIZE_TRIGGER`.
+    """
     return (
         tuples.withColumn("__bytes", tuple_bytes(value_columns))
         .groupBy("task_id", "stream")

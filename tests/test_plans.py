@@ -101,6 +101,22 @@ def test_empty_inputs(spark):
     assert R.edge_traffic(traffic, tasks, edges).count() == 0
 
 
+def test_listed_hosts_are_all_reported(spark):
+    traffic = spark.createDataFrame(
+        [(1, 1, 2, 5)], "snapshot_id int, source_task_id int, destination_task_id int, traffic bigint"
+    )
+    load = spark.createDataFrame(
+        [(0, 2, "h1", 7), (1, 2, "h1", 9)],
+        "snapshot_id int, task_id int, worker_hostname string, load bigint",
+    )
+    worker = spark.createDataFrame([(1, "h1", 1, 0, 40)], "snapshot_id int, hostname string, port int, ts int, cpu_usage int")
+    hosts = spark.createDataFrame([("h1",), ("h2",)], "host string")
+    got = sorted(tuple(r) for r in R.worker_points(traffic, load, worker, hosts).collect())
+    assert got == [(0, "h1", 0, 0, 7, 0), (0, "h2", 0, 0, 0, 0), (1, "h1", 5, 0, 9, 40), (1, "h2", 0, 0, 0, 0)]
+    into = sorted(tuple(r) for r in R.worker_traffic(traffic, load, "in", hosts).collect())
+    assert into == [(0, "h1", 0), (0, "h2", 0), (1, "h1", 5), (1, "h2", 0)]
+
+
 def test_one_event(spark):
     log = spark.createDataFrame([(77, 3_000_000)], "ts_ms bigint, latency_ns bigint")
     assert [tuple(r) for r in E.latency_per_second(log).collect()] == [(0, 3)]
