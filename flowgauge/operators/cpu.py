@@ -199,6 +199,8 @@ def accepted_readings(
         readings.groupBy("task_id", "ts_ms")
         .agg(F.min("cpu_ns").alias("cpu_ns"))
         .withColumn("slab", F.expr(f"ts_ms div {int(slab_ms)}"))
+        # Said here, so that both uses below have one plan and share its shuffle.
+        .filter(F.col("task_id").isNotNull() & F.col("slab").isNotNull())
     )
     task = f"task_id {thinned.schema['task_id'].dataType.simpleString()}"
     entries = (

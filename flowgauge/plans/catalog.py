@@ -290,7 +290,7 @@ def _(t):
     """select component, task_id from
          (select concat('c', component) as component, task_id from fx_tasks where component <> 1)
        union all
-       select 'c1', unnest(generate_series(100, 100 + (select count(*) from fx_tasks) - 1))""",
+       select 'c1', cast(unnest(generate_series(100, 100 + (select count(*) from fx_tasks) - 1)) as int)""",
 )
 def _(t):
     named = t.tasks.select(F.concat(F.lit("c"), "component").alias("component"), "task_id")
@@ -685,7 +685,7 @@ def _(t):
 
 @query(
     "free_workers",
-    """select hostname, port from (select hostname, unnest(generate_series(6700, 6703)) as port
+    """select hostname, port from (select hostname, cast(unnest(generate_series(6700, 6703)) as int) as port
                                    from fx_node)
        where (hostname, port) not in (select (hostname, port) from fx_placements)""",
 )
@@ -696,7 +696,7 @@ def _(t):
 @query(
     "free_worker_counts",
     """select w.hostname, count(*) filter (where p.port is null) as free
-       from (select hostname, unnest(generate_series(6700, 6703)) as port from fx_node) w
+       from (select hostname, cast(unnest(generate_series(6700, 6703)) as int) as port from fx_node) w
        left join (select distinct hostname, port from fx_placements) p
          on p.hostname = w.hostname and p.port = w.port group by 1""",
 )
@@ -961,7 +961,7 @@ def _(t):
 
 @query(
     "component_task_list",
-    """select component, task_id // 10 as chunk,
+    """select component, cast(task_id // 10 as bigint) as chunk,
               string_agg(cast(task_id as varchar), ',' order by task_id) as tasks
        from fx_executor_tasks group by 1, 2""",
 )
@@ -1056,7 +1056,7 @@ def _(t):
 
 @query(
     "split_tasks",
-    """select component, bucket - 1 as executor_no, min(task_id) as start_task,
+    """select component, cast(bucket - 1 as int) as executor_no, min(task_id) as start_task,
               max(task_id) as end_task
        from (select e.component, t.task_id,
                     ntile(3) over (partition by e.component order by t.task_id) as bucket
@@ -1162,7 +1162,7 @@ def _(t):
 
 @query(
     "remaining_workers",
-    """select hostname, unnest(generate_series(6700, 6703)) as port from fx_node
+    """select hostname, cast(unnest(generate_series(6700, 6703)) as int) as port from fx_node
        except select hostname, port from fx_placements""",
 )
 def _(t):
@@ -1234,7 +1234,8 @@ def _(t):
 
 @query(
     "task_range",
-    """select executor, unnest(generate_series(start_task, end_task)) as task_id from fx_executors
+    """select executor, cast(unnest(generate_series(start_task, end_task)) as int) as task_id
+       from fx_executors
        union all select task_id + 1000, task_id from fx_tasks""",
 )
 def _(t):
@@ -1276,8 +1277,8 @@ def _(t):
 
 @query(
     "tuple_bytes",
-    """select event_id, octet_length(encode(concat('{"user_id":', user_id, ',"event_type":"',
-              event_type, '"}'))) as bytes from events""",
+    """select event_id, cast(octet_length(encode(concat('{"user_id":', user_id, ',"event_type":"',
+              event_type, '"}'))) as int) as bytes from events""",
 )
 def _(t):
     return t.events.select("event_id", S.tuple_bytes(["user_id", "event_type"]).alias("bytes"))
