@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowgauge.operators.ordered import running
+from flowgauge.runtime import cut_lineage
 
 CORE_SPEED = 2_936_012_800
 
@@ -33,6 +34,12 @@ class Telemetry:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def stored(self, *names: str) -> Telemetry:
+        """Store the named views first, for plans that read them many times."""
+        for name in names:
+            self.__dict__[name] = cut_lineage(getattr(self, name))
+        return self
+
     # --- graph -----------------------------------------------------------------
 
     @cached_property

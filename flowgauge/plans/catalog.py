@@ -93,12 +93,14 @@ def points(t: Telemetry) -> DataFrame:
 
 
 def component_train(t: Telemetry) -> DataFrame:
+    t = t.stored("traffic", "load")
     return J.component_training_set(
         points(t), t.components, max_traffic(t), t.node, max_sec=MAX_SEC
     )
 
 
 def worker_train(t: Telemetry) -> DataFrame:
+    t = t.stored("traffic", "load")
     return J.worker_training_set(
         R.worker_points(t.traffic, t.load, t.worker), max_traffic(t), t.node
     )
