@@ -204,7 +204,7 @@ def named_lines(t: Telemetry) -> DataFrame:
     links = t.edges.withColumn("n", top).select(
         F.concat(F.lit("edge"), number, F.lit("= c"), "src", F.lit(",c"), "dst").alias("text")
     )
-    noise = t.components.limit(1).select(F.lit("# comment").alias("text"))
+    noise = t.components.agg(F.count(F.lit(1))).select(F.lit("# comment").alias("text"))
     return declared.unionByName(ranges).unionByName(links).unionByName(noise)
 
 
