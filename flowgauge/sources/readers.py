@@ -109,7 +109,7 @@ def _numbered(lines: DataFrame, kinds: str) -> DataFrame:
     hits = lines.filter(F.col("text").rlike(pattern)).select(
         *keys,
         F.regexp_extract("text", pattern, 1).alias("entry"),
-        F.regexp_extract("text", pattern, 2).cast("int").alias("no"),
+        F.regexp_extract("text", pattern, 2).try_cast("int").alias("no"),
         F.regexp_replace(F.regexp_extract("text", pattern, 3), " ", "").alias("value"),
     )
     expected = F.row_number().over(W.partitionBy(*keys, "entry").orderBy("no")) - 1
