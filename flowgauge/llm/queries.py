@@ -7,8 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowgauge.llm import lines, mixing, tokens
-from flowgauge.llm.common import table
+from flowgauge.llm import language, lines, mixing, tokens
+from flowgauge.llm.common import held_out, table
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train_language_model(docs)
+    return language.predict_language(docs, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"
+    )
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +38,6 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_line_dedup, op8_source_mixing, op9_token_output)
+    f.__name__: f for f in (op1_language_id, op2_line_dedup, op8_source_mixing, op9_token_output)
 }
 SQL: dict[str, str] = {"op2_line_dedup": lines.OP2_SQL, "op8_source_mixing": mixing.OP8_SQL}
