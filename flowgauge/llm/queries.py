@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowgauge.llm import language, lines, mixing, tokens
+from flowgauge.llm import language, lines, mixing, tokens, toxicity
 from flowgauge.llm.common import held_out, table
 
 
@@ -26,6 +26,17 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = toxicity.train_toxicity_model(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.score_toxicity(docs, net).select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix_sources(docs).select(
@@ -38,6 +49,6 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_line_dedup, op8_source_mixing, op9_token_output)
+    f.__name__: f for f in (op1_language_id, op2_line_dedup, op7_toxicity, op8_source_mixing, op9_token_output)
 }
 SQL: dict[str, str] = {"op2_line_dedup": lines.OP2_SQL, "op8_source_mixing": mixing.OP8_SQL}
