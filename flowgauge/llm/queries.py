@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowgauge.llm import language, lines, mixing, tokens, toxicity
+from flowgauge.llm import html, jaccard, language, lines, mixing, tokens, toxicity
 from flowgauge.llm.common import held_out, table
 
 
@@ -26,6 +26,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     net = toxicity.train_toxicity_model(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
@@ -48,7 +52,20 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.tokenize(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html.extract_text(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_line_dedup, op7_toxicity, op8_source_mixing, op9_token_output)
+    f.__name__: f for f in (
+        op1_language_id,
+        op2_line_dedup,
+        op3_ngram_jaccard,
+        op7_toxicity,
+        op8_source_mixing,
+        op9_token_output,
+        op10_html_extraction,
+    )
 }
 SQL: dict[str, str] = {"op2_line_dedup": lines.OP2_SQL, "op8_source_mixing": mixing.OP8_SQL}
