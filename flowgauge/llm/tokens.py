@@ -16,8 +16,10 @@ Blocks are rows of Parquet files, so any store that Spark writes to can hold the
 
 from __future__ import annotations
 
+import sys
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 #: A block is closed once it holds so many ids; the last document stays whole.
 BLOCK_IDS = 1 << 16
 #: Ids that a task remembers for pieces of text before it starts afresh.
-REMEMBERED_PIECES = 400_000
+REMEMBERED_PIECES = 700_000
 
 BLOCK_SCHEMA = "part int, seq long, doc_ids array<long>, lengths array<int>, n_ids long, words binary"
 
@@ -104,10 +106,13 @@ def unpack(words: bytes, n: int) -> np.ndarray:
 class PieceEncoder:
     """Ids of whole texts by the tokenizers library, remembering pieces seen before.
 
-    A byte-level pre-tokenizer never joins what stands before a single space with what
-    stands from it on, if neither neighbour of the space is white space. Texts are cut
-    there, and the library encodes each distinct piece once. ``remembered`` bounds the
-    memory; it does not change the ids.
+    A byte-level pre-tokenizer never joins what stands before a single space or line end
+    with what stands from it on, if neither neighbour is white space, nor a letter with the
+    sentence mark after it. Texts are cut at such places, and the library encodes each
+    distinct piece once. ``remembered`` bounds the memory; it does not change the ids.
+
+    A piece is known under its own text if it begins with white space or stands first (then
+    marked by a zero character), and else stands for the piece with a space before it.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED_PIECES):
@@ -115,42 +120,65 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.remembered = remembered
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    @staticmethod
+    def of_process(path: str) -> PieceEncoder:
+        """The encoder that earlier tasks of this worker process have filled, or a new one."""
+        return sys.__dict__.setdefault("_flowgauge_encoders", {}).setdefault(path, PieceEncoder(path))
 
     @staticmethod
     def pieces(text: str) -> list[str]:
-        cut = text.split(" ")
-        if len(cut) == 1:
-            return cut
-        out = [cut[0]]
-        glue = not cut[0] or cut[0][-1].isspace()
-        for piece in cut[1:]:
-            if glue or not piece or piece[0].isspace():
-                out[-1] += " " + piece
-            else:
-                out.append(" " + piece)
-            glue = not piece or piece[-1].isspace()
+        if " ".join(text.split()) == text.replace("\n", " "):
+            out = text.replace("\n", " \n").split(" ")
+        else:  # white space of other kinds or in runs: cut at single spaces between other characters
+            out, glue = [], False
+            for i, piece in enumerate(text.split(" ")):
+                if i and (glue or not piece or piece[0].isspace()):
+                    out[-1] += " " + piece
+                else:
+                    out.append(piece)
+                glue = not piece or piece[-1].isspace()
+        out[0] = "\0" + out[0]
         return out
 
+    def _learn(self, fresh: list[str]) -> None:
+        whole, ended = [], []
+        for p in fresh:
+            if p[-1] in ".,;:!?" and p[:-1].isalpha():
+                ended.append(p)
+                if p[:-1] not in self.known:
+                    whole.append(p[:-1])
+            else:
+                whole.append(p)
+        whole = list(dict.fromkeys(whole))
+        for at in range(0, len(whole), 4096):
+            some = whole[at : at + 4096]
+            raw = [p[1:] if p[0] == "\0" else p if p[0] == "\n" else " " + p for p in some]
+            got = self.tokenizer.encode(raw, is_pretokenized=True, add_special_tokens=False)
+            ids, owner = got.ids, np.array(got.word_ids, dtype=np.int64)
+            cut = np.searchsorted(owner, np.arange(len(some) + 1)).tolist()
+            for k, p in enumerate(some):
+                self.known[p] = tuple(ids[cut[k] : cut[k + 1]])
+        for p in ended:
+            self.known[p] = self.known[p[:-1]] + self._mark(p[-1])
+
+    def _mark(self, mark: str) -> tuple[int, ...]:
+        key = "\0" + mark
+        if key not in self.known:
+            self.known[key] = tuple(self.tokenizer.encode(mark, add_special_tokens=False).ids)
+        return self.known[key]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.pieces(t) if t else [] for t in texts]
-        new = {p for pieces in cut for p in pieces if p not in self.known}
-        if len(self.known) + len(new) > self.remembered:
+        cut = [self.pieces(t) for t in texts]
+        distinct = set(chain.from_iterable(cut))
+        fresh = distinct.difference(self.known)
+        if len(self.known) + len(fresh) > self.remembered:
             self.known.clear()
-            new = {p for pieces in cut for p in pieces}
-        fresh = list(new)
-        for at in range(0, len(fresh), 4096):
-            batch = fresh[at : at + 4096]
-            for piece, got in zip(batch, self.tokenizer.encode_batch(batch, add_special_tokens=False), strict=True):
-                self.known[piece] = got.ids
-        known = self.known
-        out = []
-        for pieces in cut:
-            ids: list[int] = []
-            for p in pieces:
-                ids += known[p]
-            out.append(np.array(ids, dtype=np.uint32))
-        return out
+            fresh = distinct
+        self._learn(list(fresh))
+        known = self.known.__getitem__
+        return [np.fromiter(chain.from_iterable(map(known, pieces)), dtype=np.uint32) for pieces in cut]
 
 
 def _encoder(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -158,7 +186,7 @@ def _encoder(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives the parallelism
-        encoder = PieceEncoder(path)
+        encoder = PieceEncoder.of_process(path)
         part, seq = TaskContext.get().partitionId(), 0
         docs: list[int | None] = []
         ids: list[np.ndarray] = []
@@ -180,9 +208,9 @@ def _encoder(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
         end = np.array([end_id], dtype=np.uint32)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
-            for at in range(0, batch.num_rows, 64):
-                some = [t or "" for t in texts.slice(at, 64).to_pylist()]
-                for key, got in zip(keys.slice(at, 64).to_pylist(), encoder.encode(some), strict=True):
+            for at in range(0, batch.num_rows, 128):
+                some = [t or "" for t in texts.slice(at, 128).to_pylist()]
+                for key, got in zip(keys.slice(at, 128).to_pylist(), encoder.encode(some), strict=True):
                     docs.append(key)
                     ids.append(np.concatenate([got, end]))
                     held += len(got) + 1
