@@ -20,15 +20,20 @@ CHUNK_CHARS = 1 << 19
 
 
 class WordReader:
-    """Word hashes of texts. Keeps the running powers of the hash between calls."""
+    """Word hashes of texts. Keeps the running powers of the hash between calls.
 
-    def __init__(self) -> None:
+    ``marks`` tells whether ASCII marks belong to words or part them as space does.
+    """
+
+    def __init__(self, marks: bool = True) -> None:
         numbers = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         lower = np.arange(256)
         lower[65:91] += 32
         self.number = numbers[lower]
         self.space = np.zeros(256, dtype=bool)
         self.space[[32, *range(9, 14)]] = True
+        if not marks:
+            self.space[[i for i in range(128) if not chr(i).isalnum()]] = True
         self.power = self.inverse = np.ones(1, dtype=np.uint64)
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
