@@ -19,7 +19,7 @@ from __future__ import annotations
 import sys
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -120,7 +120,14 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.remembered = remembered
-        self.known: dict[str, tuple[int, ...]] = {}
+        #: Ids of pieces as bytes, those met of late and those met before them.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        # Byte-level vocabularies write a printable byte as itself and the others as
+        # characters from 256 on, in order.
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = iter(range(256, 512))
+        self.written = {b: chr(b) if b in printable else chr(next(others)) for b in range(256)}
 
     @staticmethod
     def of_process(path: str) -> PieceEncoder:
@@ -142,43 +149,56 @@ class PieceEncoder:
         out[0] = "\0" + out[0]
         return out
 
+    def _word(self, text: str) -> bytes:
+        """Ids of one pre-token: the library's model, without the steps around it."""
+        found = self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.written))
+        return np.array([t.id for t in found], dtype="<u4").tobytes()
+
     def _learn(self, fresh: list[str]) -> None:
-        whole, ended = [], []
+        known, others, ended = self.known, [], []
         for p in fresh:
-            if p[-1] in ".,;:!?" and p[:-1].isalpha():
+            if p in self.older:
+                known[p] = self.older[p]
+                continue
+            ends = p[-1] in ".,;:!?"
+            word = p[p[0] in "\0\n" : len(p) - ends]
+            # Latin letters, so that the library surely takes them as letters too
+            if not (word.isalpha() and max(word) < "\u0250"):
+                others.append(p)
+            elif p[0] == "\n":
+                known[p] = self._of("\n") + self._word(word) + (self._of(p[-1]) if ends else b"")
+            elif p[0] == "\0":
+                known[p] = self._word(word) + (self._of(p[-1]) if ends else b"")
+            elif ends:
                 ended.append(p)
-                if p[:-1] not in self.known:
-                    whole.append(p[:-1])
             else:
-                whole.append(p)
-        whole = list(dict.fromkeys(whole))
-        for at in range(0, len(whole), 4096):
-            some = whole[at : at + 4096]
+                known[p] = self._word(" " + word)
+        for p in ended:
+            if p[:-1] not in known:
+                known[p[:-1]] = self.older.get(p[:-1]) or self._word(" " + p[:-1])
+            known[p] = known[p[:-1]] + self._of(p[-1])
+        for at in range(0, len(others), 4096):
+            some = others[at : at + 4096]
             raw = [p[1:] if p[0] == "\0" else p if p[0] == "\n" else " " + p for p in some]
             got = self.tokenizer.encode(raw, is_pretokenized=True, add_special_tokens=False)
-            ids, owner = got.ids, np.array(got.word_ids, dtype=np.int64)
-            cut = np.searchsorted(owner, np.arange(len(some) + 1)).tolist()
+            ids, owner = np.array(got.ids, dtype="<u4"), np.array(got.word_ids, dtype=np.int64)
+            cut = np.searchsorted(owner, np.arange(len(some) + 1))
             for k, p in enumerate(some):
-                self.known[p] = tuple(ids[cut[k] : cut[k + 1]])
-        for p in ended:
-            self.known[p] = self.known[p[:-1]] + self._mark(p[-1])
+                known[p] = ids[cut[k] : cut[k + 1]].tobytes()
 
-    def _mark(self, mark: str) -> tuple[int, ...]:
+    def _of(self, mark: str) -> bytes:
         key = "\0" + mark
         if key not in self.known:
-            self.known[key] = tuple(self.tokenizer.encode(mark, add_special_tokens=False).ids)
+            self.known[key] = np.array(self.tokenizer.encode(mark, add_special_tokens=False).ids, dtype="<u4").tobytes()
         return self.known[key]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.known) > self.remembered // 2:
+            self.known, self.older = {}, self.known
         cut = [self.pieces(t) for t in texts]
-        distinct = set(chain.from_iterable(cut))
-        fresh = distinct.difference(self.known)
-        if len(self.known) + len(fresh) > self.remembered:
-            self.known.clear()
-            fresh = distinct
-        self._learn(list(fresh))
-        known = self.known.__getitem__
-        return [np.fromiter(chain.from_iterable(map(known, pieces)), dtype=np.uint32) for pieces in cut]
+        self._learn(list(set(filterfalse(self.known.__contains__, chain.from_iterable(cut)))))
+        ids = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(ids, pieces)), dtype="<u4") for pieces in cut]
 
 
 def _encoder(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
