@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowgauge.llm import decontaminate, embeddings, html, jaccard, language, lines, mixing, tokens, toxicity
+from flowgauge.llm import decontaminate, embeddings, html, jaccard, language, lines, mixing, passages, tokens, toxicity
 from flowgauge.llm.common import held_out, table
 
 
@@ -39,6 +39,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     net = toxicity.train_toxicity_model(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_ngram_jaccard,
         op4_embedding_dedup,
         op5_decontamination,
+        op6_substring_dedup,
         op7_toxicity,
         op8_source_mixing,
         op9_token_output,
