@@ -6,6 +6,8 @@ each row (the layout :func:`flowgauge.functions.scalars.tanh_net` scores).
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
 
@@ -39,49 +41,63 @@ def jacobian(w: np.ndarray, x: np.ndarray, hidden: int):
     return f, np.hstack([df[:, None] * h, df[:, None], inner.reshape(len(x), -1)])
 
 
-def fit_resilient(
-    x: np.ndarray,
-    n: np.ndarray,
-    sum_y: np.ndarray,
-    sum_yy: np.ndarray,
-    *,
-    hidden: int,
-    seed: int,
-    tolerance: float,
-    max_epochs: int,
-):
-    """Resilient propagation on rows grouped by equal input.
-
-    ``n``, ``sum_y`` and ``sum_yy`` are the count and sums of the targets that share
-    an input; squared error and its gradient depend on nothing else, so grouping
-    loses nothing. Returns weights, mean squared error and epochs used.
+def normal_sums(
+    w: np.ndarray, x: np.ndarray, n: np.ndarray, sum_y: np.ndarray, sum_yy: np.ndarray, hidden: int
+) -> np.ndarray:
+    """Additive sums of a Gauss-Newton step over rows grouped by equal input: J'J, J'r, squared error.
+
+    ``n``, ``sum_y`` and ``sum_yy`` are the count and sums of the targets that share an input.
     """
-    w = initial_weights(x.shape[1], hidden, seed)
-    step = np.full(w.shape, 0.1)
-    before = np.zeros_like(w)
-    rows, best_error, best_w = n.sum(), np.inf, w
-    for epoch in range(1, max_epochs + 1):
-        f, jac = jacobian(w, x, hidden)
-        error = float((sum_yy - 2.0 * f * sum_y + n * f * f).sum() / rows)
-        if error < best_error:
-            best_error, best_w = error, w
-        if best_error <= tolerance:
-            break
-        grad = (n * f - sum_y) @ jac
-        turn = grad * before
-        step = np.clip(np.where(turn > 0, step * 1.2, np.where(turn < 0, step * 0.5, step)), 1e-6, 50.0)
-        grad = np.where(turn < 0, 0.0, grad)
-        w = w - np.sign(grad) * step
-        before = grad
-    return best_w, max(best_error, 0.0), epoch
-
-
-def normal_sums(w: np.ndarray, x: np.ndarray, y: np.ndarray, hidden: int) -> np.ndarray:
-    """Additive sums of a Gauss-Newton step: J'J, J'r, squared error and row count."""
     f, jac = jacobian(w, x, hidden)
-    r = f - y
-    return np.concatenate([(jac.T @ jac).ravel(), jac.T @ r, [r @ r, len(y)]])
+    error = (sum_yy - 2.0 * f * sum_y + n * f * f).sum()
+    return np.concatenate([(jac.T @ (jac * n[:, None])).ravel(), jac.T @ (n * f - sum_y), [error]])
 
 
 def unpack_sums(sums: np.ndarray, k: int):
-    return sums[: k * k].reshape(k, k), sums[k * k : k * k + k], sums[-2], sums[-1]
+    return sums[: k * k].reshape(k, k), sums[k * k : k * k + k], sums[-1]
+
+
+@dataclass
+class Fit:
+    """The search for one network's weights, from sums that others have added up."""
+
+    w: np.ndarray
+    scale: np.ndarray
+    limit: float
+    rows: float
+    damping: float = 1e-2
+    sse: float = np.inf
+    epochs: int = 0
+
+    def accept(self, w: np.ndarray, sums) -> None:
+        self.w, (self.jtj, self.jtr, self.sse) = w, sums
+
+    @property
+    def mse(self) -> float:
+        return max(0.0, float(self.sse / self.rows))
+
+    @property
+    def done(self) -> bool:
+        # At this damping a step no longer changes the weights.
+        return self.mse <= self.limit or self.damping > 1e16
+
+    def trials(self) -> list[np.ndarray]:
+        curve = np.diag(np.diag(self.jtj) + 1e-9 * max(1e-300, np.diag(self.jtj).max()))
+        return [
+            self.w - np.linalg.lstsq(self.jtj + d * curve, self.jtr, rcond=None)[0]
+            for d in (self.damping / 10, self.damping, self.damping * 10)
+        ]
+
+    def choose(self, trials: list[np.ndarray], found: list) -> None:
+        self.epochs += 1
+        best = min(range(len(found)), key=lambda i: found[i][2])
+        if found[best][2] < self.sse:
+            self.accept(trials[best], found[best])
+            self.damping = max(1e-12, self.damping * (0.1, 1.0, 10.0)[best])
+        else:
+            self.damping *= 1000  # the three lengths tried reach from a tenth to ten times
+
+    def scaled_back(self, inputs: int, hidden: int) -> list[float]:
+        w = self.w.copy()
+        w[hidden + 1 :].reshape(hidden, inputs + 1)[:, :-1] /= self.scale
+        return w.tolist()

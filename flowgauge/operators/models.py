@@ -82,156 +82,136 @@ def worker_training_set(points: DataFrame, max_traffic: DataFrame, node: DataFra
 # --- fitting ---------------------------------------------------------------------
 
 
-def fit_component_models(
-    train: DataFrame,
-    *,
-    tolerance: float = 3e-5,
-    max_epochs: int = 50_000,
-    seed: int = 7,
-    max_points: int = 1_000_000,
-) -> DataFrame:
-    """Fit traffic -> load per component with a tanh 1-3-1 network.
-
-    Rows are first grouped by equal traffic into count, sum and sum of squares of
-    the load. Traffic is a whole number of tuples per second, so a component has at
-    most its peak rate in distinct inputs however long the history is, and the fit
-    on the groups equals the fit on the rows. A component with more than
-    ``max_points`` distinct inputs is fitted by :func:`fit_distributed` instead.
-    """
-    keys = [*scope(train), "component"]
-    y = F.col("norm_load")
-    grouped = cut_lineage(
-        train.groupBy(*keys, "norm_traffic").agg(
-            F.count(F.lit(1)).cast("double").alias("n"),
-            F.sum(y).alias("sy"),
-            F.sum(y * y).alias("syy"),
-        )
-    )
-    schema = ", ".join(f"`{k}` {train.schema[k].dataType.simpleString()}" for k in keys)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        # Floating-point sums depend on row order.
-        pdf = pdf.sort_values("norm_traffic")
-        w, mse, epochs = nets.fit_resilient(
-            pdf[["norm_traffic"]].to_numpy(),
-            pdf["n"].to_numpy(),
-            pdf["sy"].to_numpy(),
-            pdf["syy"].to_numpy(),
-            hidden=COMPONENT_HIDDEN,
-            seed=seed,
-            tolerance=tolerance,
-            max_epochs=max_epochs,
-        )
-        row = {k: [pdf[k].iloc[0]] for k in keys}
-        return pd.DataFrame({**row, "w": [w], "mse": [mse], "epochs": [epochs]})
-
-    sizes = grouped.groupBy(*keys).agg(F.count(F.lit(1)).alias("__points"))
-    small = sizes.filter(F.col("__points") <= max_points).select(*keys)
-    fitted = (
-        grouped.join(small, keys, "left_semi")
-        .groupBy(*keys)
-        .applyInPandas(fit, f"{schema}, w array<double>, mse double, epochs int")
-    )
-    large = sizes.filter(F.col("__points") > max_points).select(*keys)
-    for key in large.toLocalIterator():
-        same = train
-        for k in keys:
-            same = same.filter(F.col(k) == key[k])
-        model = fit_distributed(
-            same, ["norm_traffic"], "norm_load", hidden=COMPONENT_HIDDEN, tolerance=tolerance, seed=seed
-        )
-        fitted = fitted.unionByName(
-            model.select(
-                *[F.lit(key[k]).cast(train.schema[k].dataType).alias(k) for k in keys],
-                "w",
-                "mse",
-                F.col("rounds").alias("epochs"),
-            )
-        )
-    return fitted
-
-
-def fit_distributed(
+def fit_networks(
     train: DataFrame,
+    keys: Sequence[str],
     inputs: Sequence[str],
     target: str,
     *,
     hidden: int,
     tolerance: float,
-    max_rounds: int = 40,
-    min_gain: float = 0.01,
+    share: float | None = None,
+    max_epochs: int,
     seed: int = 7,
 ) -> DataFrame:
-    """Fit one tanh network over any number of rows.
-
-    Each round is one pass: tasks sum the normal equations of their own rows for a
-    few step lengths, Spark adds the partial sums, and the driver sees only those
-    few hundred numbers to choose the next step (damped Gauss-Newton). It needs
-    tens of passes where gradient steps need thousands, and stops early after three
-    passes in a row that each gain less than ``min_gain``.
+    """Fit one tanh network per key over any number of rows: ``keys, w, mse, n, epochs``.
+
+    Rows are first grouped by key and equal inputs into count, sum and sum of squares
+    of the target; squared error depends on nothing else. Every network starts as the
+    mean of its targets and takes damped Gauss-Newton steps. An epoch is one pass for
+    all networks together: tasks sum the normal equations of their own rows for a few
+    step lengths, Spark adds the sums per key, and the driver sees those few hundred
+    numbers per network to choose its next step. A step that does not lower the error
+    is not taken, so no network is worse than the mean.
+
+    A network is done at ``tolerance`` (or at ``share`` of its target's variance, if
+    given), where no step lowers the error any more, or after ``max_epochs``.
     """
-    inputs = list(inputs)
-    k = nets.size(len(inputs), hidden)
-    spark = train.sparkSession
+    keys, inputs = list(keys), list(inputs)
+    spark, k, y = train.sparkSession, nets.size(len(inputs), hidden), F.col(target).cast("double")
     data = cut_lineage(
-        train.select(*[F.col(c).cast("double").alias(c) for c in (*inputs, target)])
+        train.groupBy(*keys, *[F.col(c).cast("double").alias(c) for c in inputs]).agg(
+            F.count(F.lit(1)).cast("double").alias("__n"), F.sum(y).alias("__sy"), F.sum(y * y).alias("__syy")
+        )
+    )
+    # One row per network. Inputs are brought to one size for the search; weights are scaled back.
+    known = data.groupBy(*keys).agg(
+        F.sum("__n").alias("n"),
+        F.sum("__sy").alias("sy"),
+        F.sum("__syy").alias("syy"),
+        *[F.max(F.abs(F.col(c))).alias(f"__top_{c}") for c in inputs],
     )
-    # Inputs are brought to one size for the search; the weights are scaled back.
-    tops = data.agg(*[F.max(F.abs(F.col(c))).alias(c) for c in inputs]).first()
-    scale = np.array([tops[c] or 1.0 for c in inputs])
+    fits = {}
+    for row in known.collect():
+        scale = np.array([row[f"__top_{c}"] or 1.0 for c in inputs])
+        mean = row["sy"] / row["n"]
+        limit = tolerance if share is None else share * max(0.0, row["syy"] / row["n"] - mean * mean)
+        w = nets.initial_weights(len(inputs), hidden, seed)
+        w[:hidden], w[hidden] = 0.0, np.arctanh(np.clip(mean, -0.999999, 0.999999))
+        fits[tuple(row[c] for c in keys)] = nets.Fit(w, scale, limit, row["n"])
+
+    def sums_at(trials: dict[tuple, list[np.ndarray]]) -> dict[tuple, list]:
+        scales = {key: fits[key].scale for key in trials}
+        order = list(trials)
 
-    def sums_at(trials: list[np.ndarray]):
         def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros((len(trials), k * k + k + 2))
+            total = {}
             for pdf in batches:
-                x, y = pdf[inputs].to_numpy() / scale, pdf[target].to_numpy()
-                total += [nets.normal_sums(w, x, y, hidden) for w in trials]
-            yield pd.DataFrame({"i": np.arange(total.size), "v": total.ravel()})
-
-        added = data.mapInPandas(partial, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
-        flat = np.zeros((len(trials), k * k + k + 2))
+                groups = pdf.groupby(keys, sort=False, dropna=False) if keys else [((), pdf)]
+                for key, rows in groups:
+                    key = tuple(None if pd.isna(v) else v for v in key)
+                    if key in scales:
+                        x = rows[inputs].to_numpy() / scales[key]
+                        own = [rows[c].to_numpy() for c in ("__n", "__sy", "__syy")]
+                        found = np.array([nets.normal_sums(w, x, *own, hidden) for w in trials[key]])
+                        total[key] = total.get(key, 0.0) + found
+            for key, found in total.items():
+                yield pd.DataFrame({"m": order.index(key), "i": np.arange(found.size), "v": found.ravel()})
+
+        added = data.mapInPandas(partial, "m int, i int, v double").groupBy("m", "i").agg(F.sum("v").alias("v"))
+        flat = {key: np.zeros((len(ws), k * k + k + 1)) for key, ws in trials.items()}
         for row in added.collect():
-            flat.flat[row["i"]] = row["v"]
-        return [nets.unpack_sums(sums, k) for sums in flat]
-
-    w = nets.initial_weights(len(inputs), hidden, seed)
-    damping, rounds, idle = 1e-2, 1, 0
-    jtj, jtr, sse, rows = sums_at([w])[0]
-    while rows and sse / rows > tolerance and rounds < max_rounds and damping < 1e8:
-        dampings = [damping / 10, damping, damping * 10]
-        trials = [
-            w - np.linalg.solve(jtj + d * np.diag(np.diag(jtj) + 1e-12), jtr) for d in dampings
-        ]
-        found = sums_at(trials)
-        rounds += 1
-        best = min(range(len(found)), key=lambda i: found[i][2])
-        if not found[best][2] < sse:
-            damping *= 1000
-            continue
-        gain = 1 - found[best][2] / sse
-        w, damping = trials[best], max(dampings[best], 1e-12)
-        jtj, jtr, sse, rows = found[best]
-        idle = idle + 1 if gain < min_gain else 0
-        if idle == 3:
+            flat[order[row["m"]]].flat[row["i"]] = row["v"]
+        return {key: [nets.unpack_sums(one, k) for one in found] for key, found in flat.items()}
+
+    if fits:
+        for key, found in sums_at({key: [fit.w] for key, fit in fits.items()}).items():
+            fits[key].accept(fits[key].w, found[0])
+    for _ in range(max_epochs):
+        trials = {key: fit.trials() for key, fit in fits.items() if not fit.done}
+        if not trials:
             break
-    w[hidden + 1 :].reshape(hidden, len(inputs) + 1)[:, :-1] /= scale
-    mse = float(sse / rows) if rows else None
-    return spark.createDataFrame(
-        [(w.tolist(), mse, rounds)], "w array<double>, mse double, rounds int"
+        for key, found in sums_at(trials).items():
+            fits[key].choose(trials[key], found)
+    schema = "".join(f"`{c}` {train.schema[c].dataType.simpleString()}, " for c in keys)
+    rows = [(*key, fit.scaled_back(len(inputs), hidden), fit.mse, int(fit.rows), fit.epochs) for key, fit in fits.items()]
+    return spark.createDataFrame(rows, schema + "w array<double>, mse double, n long, epochs int")
+
+
+def fit_component_models(
+    train: DataFrame,
+    *,
+    tolerance: float = 3e-5,
+    share: float | None = None,
+    max_epochs: int = 50_000,
+    seed: int = 7,
+) -> DataFrame:
+    """Fit traffic -> load per component with a tanh 1-3-1 network, see :func:`fit_networks`.
+
+    Traffic is a whole number of tuples per second, so a component has at most its
+    peak rate in distinct inputs however long the history is.
+    """
+    return fit_networks(
+        train,
+        [*scope(train), "component"],
+        ["norm_traffic"],
+        "norm_load",
+        hidden=COMPONENT_HIDDEN,
+        tolerance=tolerance,
+        share=share,
+        max_epochs=max_epochs,
+        seed=seed,
     )
 
 
 def fit_worker_model(
-    train: DataFrame, *, tolerance: float = 0.015, max_rounds: int = 40, seed: int = 7
+    train: DataFrame,
+    *,
+    tolerance: float = 0.015,
+    share: float | None = None,
+    max_epochs: int = 1_000,
+    seed: int = 7,
 ) -> DataFrame:
     """Fit host traffic and load -> CPU with one tanh 3-4-1 network over all rows."""
-    return fit_distributed(
+    return fit_networks(
         train,
+        [],
         WORKER_INPUTS,
         "norm_cpu",
         hidden=WORKER_HIDDEN,
         tolerance=tolerance,
-        max_rounds=max_rounds,
+        share=share,
+        max_epochs=max_epochs,
         seed=seed,
     )
 

@@ -1392,14 +1392,40 @@ def _(t):
     )
 
 
-@query("fit_component_models")
+def fit_facts(models, points, keys, target, net):
+    """What must hold of any fit: its rows, no worse than the mean, the error its weights really make."""
+    y = F.col(target)
+    one = [models.select(c).scalar().alias(c) for c in ("w", "mse", "n")]
+    scored = points.join(models, keys) if keys else points.select("*", *one)
+    return scored.groupBy(*keys, "mse", "n").agg(
+        F.count(F.lit(1)).alias("rows"),
+        (F.first("mse") <= F.var_pop(y) * (1 + 1e-9)).alias("no_worse_than_mean"),
+        (F.abs(F.avg((y - net) * (y - net)) - F.first("mse")) <= 1e-6 * F.var_pop(y) + 1e-15).alias("error_is_real"),
+        (F.first("n") == F.count(F.lit(1))).alias("all_rows"),
+    ).drop("mse", "n")
+
+
+@query(
+    "fit_component_models",
+    """select component, count(*) as rows, true as no_worse_than_mean, true as error_is_real, true as all_rows
+       from fx_component_train group by 1""",
+)
 def _(t):
-    return J.fit_component_models(component_train(t)).withColumn("w", text("w"))
+    # The fixture's loads are tiny against its capacity, so the limit is a share of their variance.
+    train = component_train(t)
+    fitted = J.fit_component_models(train, share=0.9)
+    return fit_facts(fitted, train, ["component"], "norm_load", J.component_net("norm_traffic", "w"))
 
 
-@query("fit_worker_model")
+@query(
+    "fit_worker_model",
+    """select count(*) as rows, true as no_worse_than_mean, true as error_is_real, true as all_rows
+       from fx_worker_train""",
+)
 def _(t):
-    return J.fit_worker_model(worker_train(t)).withColumn("w", text("w"))
+    train = worker_train(t)
+    fitted = J.fit_worker_model(train, share=0.9)
+    return fit_facts(fitted, train, [], "norm_cpu", J.worker_net("w"))
 
 
 @query(

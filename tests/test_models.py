@@ -40,12 +40,19 @@ def test_component_models(spark, train):
     assert all(mse <= 1e-4 for mse in reported.values())
 
 
-def test_large_components_take_the_distributed_fit(spark, train):
-    """Both ways are exact, so a forced switch changes only the search path."""
-    models = J.fit_component_models(train, max_points=10).cache()
-    measured = {r["component"]: r["mse"] for r in J.model_error(train, models).collect()}
-    assert {r["component"]: r["mse"] for r in models.collect()} == pytest.approx(measured, abs=1e-9)
-    assert all(mse <= 1e-4 for mse in measured.values()), measured
+def test_no_fit_is_worse_than_the_mean(spark, train):
+    """Targets that no input explains leave the network at the mean or below it."""
+    df = train.withColumn("norm_load", (F.abs(F.hash("norm_load")) % 1000) / 1e9)
+    models = J.fit_component_models(df, share=0.0, max_epochs=6).collect()
+    variance = {r[0]: r[1] for r in df.groupBy("component").agg(F.var_pop("norm_load")).collect()}
+    assert all(r["mse"] <= variance[r["component"]] * (1 + 1e-9) and r["n"] == 400 for r in models)
+    assert J.fit_component_models(df.limit(0)).count() == 0
+
+
+def test_fit_goes_on_until_the_limit(spark, train):
+    """No step count or gain ends a fit that still improves."""
+    models = J.fit_component_models(train, tolerance=1e-6).collect()
+    assert all(r["mse"] <= 1e-6 for r in models), models
 
 
 def test_worker_model(spark):
