@@ -302,13 +302,15 @@ def sizing_whatif(
     """Peak node utilisation for each node count when executors are dealt out evenly.
 
     Nodes are taken in host order. ``exec_load`` has one row per executor with
-    ``load`` and an integer ``order`` column.
+    ``load`` and an integer ``order`` column; executors of several applications that
+    tie on it are dealt in the order of the application, then of the load.
     """
     # One row per machine of the cluster.
     numbered = node_capacity(node).select(
         "speed", (F.row_number().over(W.orderBy("host")) - 1).cast("bigint").alias("node_no")
     )
-    placed = dense_position(exec_load.select(order, "load"), [], order)
+    tie = [*scope(exec_load), "load"]
+    placed = dense_position(exec_load.select(order, *tie), [], order, tie=tie)
     count = node.agg(F.count(F.lit(1))).scalar()
     dealt = sizing_candidates(placed, count).groupBy(
         "node_count", (F.col("pos") % F.col("node_count")).alias("node_no")

@@ -41,6 +41,7 @@ def scan(
     *,
     totals: dict[str, tuple[str, str]] | None = None,
     lags: dict[str, str] | None = None,
+    tie: Sequence[str] = (),
     width: int = SLAB_WIDTH,
 ) -> DataFrame:
     """Running aggregates and values one row back, with one shuffle of the rows.
@@ -48,14 +49,17 @@ def scan(
     ``totals`` maps a new column to ``(function, column)``, function being ``sum``,
     ``max`` or ``count``, over the first row of the key up to the current one.
     ``lags`` maps a new column to the column it repeats from one row earlier. Rows
-    that tie on ``order`` are taken one by one.
+    that tie on ``order`` are taken one by one, in the order of ``tie`` and then of the
+    repeated columns, inside a slab and across slabs alike. NULL is a key like others.
     """
     keys, totals, lags = list(keys), totals or {}, lags or {}
     rows = _with_slab(df, order, width)
+    by = [order, *tie, *dict.fromkeys(c for c in lags.values() if c not in (order, *tie))]
+    place = F.struct(*by) if len(by) > 1 else F.col(order)
     # One max_by per column keeps number columns in hash aggregation.
     summary = rows.groupBy(*keys, _SLAB).agg(
         *[_RUNNING[fn](col).alias(f"__carry_{name}") for name, (fn, col) in totals.items()],
-        *[F.max_by(col, order).alias(f"__carry_{name}") for name, col in lags.items()],
+        *[F.max_by(col, place).alias(f"__carry_{name}") for name, col in lags.items()],
     )
     across = W.partitionBy(*keys).orderBy(_SLAB)
     before = across.rowsBetween(W.unboundedPreceding, -1)
@@ -69,7 +73,7 @@ def scan(
     carry = summary.select(
         *keys, _SLAB, *[value.alias(f"__carry_{name}") for name, value in carried.items()]
     )
-    inside = W.partitionBy(*keys, _SLAB).orderBy(order)
+    inside = W.partitionBy(*keys, _SLAB).orderBy(*by)
     so_far = inside.rowsBetween(W.unboundedPreceding, 0)
     local = rows.select(
         "*",
@@ -85,7 +89,9 @@ def scan(
             return F.when(first, then).otherwise(here)
         return _MERGE[totals[name][0]](then, here)
 
-    return local.join(carry, [*keys, _SLAB], "left").select(
+    renamed = carry.withColumnsRenamed({k: f"__of_{k}" for k in (*keys, _SLAB)})
+    same = [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in (*keys, _SLAB)]
+    return local.join(renamed, same, "left").select(
         *df.columns, *[merged(name).alias(name) for name in carried]
     )
 
@@ -115,10 +121,16 @@ def previous(
 
 
 def dense_position(
-    df: DataFrame, keys: Sequence[str], order: str, *, name: str = "pos", width: int = SLAB_WIDTH
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    *,
+    name: str = "pos",
+    tie: Sequence[str] = (),
+    width: int = SLAB_WIDTH,
 ) -> DataFrame:
-    """0-based row number of each row inside its key."""
-    counted = running(df, keys, order, {name: ("count", order)}, width=width)
+    """0-based row number of each row inside its key, ties in the order of ``tie``."""
+    counted = scan(df, keys, order, totals={name: ("count", order)}, tie=tie, width=width)
     return counted.withColumn(name, F.col(name) - 1)
 
 
@@ -166,7 +178,8 @@ def integer_range(bounds: DataFrame, low: str, high: str, name: str, *, chunk: i
         F.col(high).alias("__high"),
         F.explode(F.sequence(F.col(low), F.col(high), F.lit(chunk).cast("bigint"))).alias("__start"),
     )
-    return starts.repartition("__start").select(
+    # By the row and the chunk: all ranges that begin at one number would share a task otherwise.
+    return starts.repartition(*keep, "__start").select(
         *keep,
         F.explode(
             F.sequence(F.col("__start"), F.least(F.col("__start") + chunk - 1, F.col("__high")))

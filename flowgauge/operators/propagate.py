@@ -118,12 +118,14 @@ def whatif_traffic(
 def topology_listing(components: DataFrame, tasks: DataFrame, weights: DataFrame) -> DataFrame:
     """One text row per component with its tasks and per edge with its weight.
 
-    A component with very many tasks continues on further rows.
+    A component with very many tasks continues on further rows, told apart by ``chunk``;
+    an edge is chunk 0.
     """
     keys = scope(components, tasks, weights)
     vertex = components.join(task_lists(tasks), [*keys, "component"], "left").select(
         *keys,
         F.lit("component").alias("item"),
+        F.coalesce(F.col("chunk").cast("bigint"), F.lit(0).cast("bigint")).alias("chunk"),
         F.concat(
             F.col("component").cast("string"),
             F.lit(", task: ["),
@@ -134,6 +136,7 @@ def topology_listing(components: DataFrame, tasks: DataFrame, weights: DataFrame
     edge = weights.select(
         *keys,
         F.lit("edge").alias("item"),
+        F.lit(0).cast("bigint").alias("chunk"),
         F.concat(
             F.lit("("),
             F.col("src").cast("string"),

@@ -255,8 +255,11 @@ def cluster_capacity(node: DataFrame) -> DataFrame:
 
 
 def executor_tasks(executors: DataFrame) -> DataFrame:
-    """One row per task of each executor, so range containment is an equi join."""
-    return executors.withColumn(
+    """One row per task of each executor, so range containment is an equi join.
+
+    An executor whose range ends before it starts has no task.
+    """
+    return executors.filter("start_task <= end_task").withColumn(
         "task_id", F.explode(F.sequence("start_task", "end_task"))
     )
 

@@ -379,20 +379,20 @@ def _(t):
 
 @query(
     "read_model_weights",
-    """select cast(vec_id as varchar) as model, '2,4,2' as layers, 10 as n,
-              round(list_sum([floor(embedding[i]::double * 1000) / 8.0::double
-                              for i in range(1, 11)]), 6) as total
+    """select cast(vec_id as varchar) as model, concat(len(embedding), ',1') as layers,
+              cast(len(embedding) as int) as n,
+              round(list_sum([floor(x::double * 1000) / 8.0::double for x in embedding]), 6) as total
        from embeddings""",
 )
 def _(t):
-    first = F.slice("embedding", 1, 10)
     numbers = F.transform(
-        first, lambda x: (F.floor(x.cast("double") * 1000) / 8.0).cast("string")
+        "embedding", lambda x: (F.floor(x.cast("double") * 1000) / 8.0).cast("string")
     )
     files = t.table("embeddings").select(
         F.col("vec_id").cast("string").alias("model"),
         F.concat(
-            F.lit("[NETWORK]\nlayerCounts=2,4,2\nweights="), F.array_join(numbers, ","), F.lit("\nend=1")
+            F.lit("[NETWORK]\nlayerCounts="), F.size("embedding").cast("string"),
+            F.lit(",1\nweights="), F.array_join(numbers, ","), F.lit("\nend=1"),
         ).alias("text"),
     )
     total = F.aggregate("w", F.lit(0.0), lambda a, x: a + x)
@@ -1354,12 +1354,12 @@ def _(t):
 
 @query(
     "topology_listing",
-    """select 'component' as item,
+    """select 'component' as item, 0::bigint as chunk,
               concat(c.component, ', task: [', string_agg(cast(task_id as varchar), ', ' order by task_id), ']')
                 as text
        from fx_components c join fx_tasks t on t.component = c.component group by c.component
        union all
-       select 'edge', concat('(', src, ' : ', dst, ') w=', cast(sum(weight) as bigint))
+       select 'edge', 0, concat('(', src, ' : ', dst, ') w=', cast(sum(weight) as bigint))
        from fx_edge_traffic group by src, dst""",
 )
 def _(t):

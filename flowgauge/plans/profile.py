@@ -159,7 +159,7 @@ def assess(
     )
     forecast = forecast_executor_load(tables, profiled, target)
     wanted = redrawn.join(forecast, at).select(
-        "start_task", F.greatest(F.col("executor_load"), F.lit(0.0)).alias("load")
+        *keys, "start_task", F.greatest(F.col("executor_load"), F.lit(0.0)).alias("load")
     )
     nodes = K.min_nodes(K.sizing_whatif(wanted, tables.node, limit=limit))
     changes = K.parallelism_changes(target, R.component_parallelism(executors))

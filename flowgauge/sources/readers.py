@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 
 from flowgauge import schemas
 from flowgauge.functions.scalars import csv_field, mhz_to_hz, task_range
+from flowgauge.operators.ordered import running
 from flowgauge.operators.rollup import scope
 
 
@@ -101,17 +102,22 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
 def _numbered(lines: DataFrame, kinds: str) -> DataFrame:
     """``kindN = value`` entries whose numbers run from 0 without a gap.
 
-    Numbering restarts per kind and reading stops at the first missing number. A
-    configuration is a few lines per component, so the window is small.
+    Numbering restarts per kind and reading stops at the first missing number. Of a
+    key set twice the last line counts, by ``line_no`` if the lines have it (else the
+    greatest value, so that reruns agree). A configuration is a few lines per
+    component, so the window is small.
     """
     keys = scope(lines)
     pattern = rf"^\s*({kinds})(\d+)\s*[=:]\s*(.*?)\s*$"
     hits = lines.filter(F.col("text").rlike(pattern)).select(
         *keys,
+        *(["line_no"] if "line_no" in lines.columns else []),
         F.regexp_extract("text", pattern, 1).alias("entry"),
         F.regexp_extract("text", pattern, 2).try_cast("int").alias("no"),
         F.regexp_replace(F.regexp_extract("text", pattern, 3), " ", "").alias("value"),
     )
+    last = F.max_by("value", "line_no") if "line_no" in lines.columns else F.max("value")
+    hits = hits.groupBy(*keys, "entry", "no").agg(last.alias("value"))
     expected = F.row_number().over(W.partitionBy(*keys, "entry").orderBy("no")) - 1
     return hits.withColumn("__expected", expected).filter("no = __expected").drop("__expected")
 
@@ -189,7 +195,8 @@ def host_core_inventory(lines: DataFrame) -> DataFrame:
     """One row per core from ``key : value`` host descriptions.
 
     ``lines`` has ``host``, ``line_no`` and ``text``. A block starts at each
-    ``processor`` line; the number of lines of one host follows its core count.
+    ``processor`` line. Blocks are numbered slab by slab, so a host with very many
+    lines is not sorted in one task.
     """
     has_colon = F.instr("text", ":") > 0
     fields = lines.filter(has_colon).select(
@@ -198,8 +205,8 @@ def host_core_inventory(lines: DataFrame) -> DataFrame:
         F.regexp_extract("text", r"^\s*([^:]*?)\s*:", 1).alias("k"),
         F.regexp_extract("text", r"^[^:]*:\s*(.*?)\s*$", 1).alias("v"),
     )
-    in_order = W.partitionBy("host").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    blocks = fields.withColumn("block", F.sum((F.col("k") == "processor").cast("int")).over(in_order))
+    starts = fields.withColumn("__starts", (F.col("k") == "processor").cast("bigint"))
+    blocks = running(starts, ["host"], "line_no", {"block": ("sum", "__starts")})
 
     def last(key: str) -> Column:
         mine = F.col("k") == key
