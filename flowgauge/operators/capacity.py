@@ -51,8 +51,12 @@ def executor_weight(
 
 
 def executors_by_weight(weights: DataFrame) -> DataFrame:
-    """Heaviest first; the executor id settles ties."""
-    return weights.orderBy(F.desc("weight"), *scope(weights), "executor")
+    """Heaviest first, with ``position``; the executor id settles ties.
+
+    One row per executor of the running applications, so one sort is enough.
+    """
+    order = [F.desc("weight"), *scope(weights), "executor"]
+    return weights.withColumn("position", F.row_number().over(W.orderBy(*order)) - 1).orderBy("position")
 
 
 def split_tasks(components: DataFrame) -> DataFrame:

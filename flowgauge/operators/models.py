@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowgauge.functions import nets
-from flowgauge.functions.scalars import normalise, tanh_net
+from flowgauge.functions.scalars import max_traffic_per_second, normalise, tanh_net
 from flowgauge.operators.filters import drop_warmup
-from flowgauge.operators.propagate import max_traffic_in, worker_traffic_normaliser
+from flowgauge.operators.propagate import max_traffic_in, whatif_traffic, worker_traffic_normaliser
 from flowgauge.operators.rollup import cluster_capacity, scope
 from flowgauge.runtime import cut_lineage
 
@@ -61,6 +61,33 @@ def component_training_set(
     )
 
 
+def whatif_training_set(
+    points: DataFrame,
+    edges: DataFrame,
+    alfa: DataFrame,
+    components: DataFrame,
+    node: DataFrame,
+    *,
+    max_traffic: float,
+    factor: int,
+    current_max_sec: float,
+    current_factor: int,
+) -> tuple[DataFrame, DataFrame]:
+    """Peak traffic and training set under another assumed peak or factor, for fitting anew."""
+    spread = whatif_traffic(
+        edges,
+        alfa,
+        components,
+        max_traffic=max_traffic,
+        factor=factor,
+        current_max_sec=current_max_sec,
+        current_factor=current_factor,
+    )
+    rate = max_traffic_per_second(max_traffic, factor, current_max_sec, current_factor)
+    top = points.sparkSession.range(1).select(rate.alias("r")).first()[0]
+    return spread, component_training_set(points, components, spread, node, max_sec=top)
+
+
 def worker_training_set(points: DataFrame, max_traffic: DataFrame, node: DataFrame) -> DataFrame:
     """Input, output, load and CPU of each host and snapshot, each over its peak."""
     keys = scope(points, max_traffic)

@@ -1104,20 +1104,34 @@ def _(t):
 # === G: sorts ======================================================================
 
 
-@query("merge_logs", "select ts_ms, latency_ns, file from fx_latency")
+@query(
+    "merge_logs",
+    """select ts_ms, latency_ns, file, pos, row_number() over (order by ts_ms, file, pos) - 1 as position
+       from (select epoch_us(ts) // 1000000 as ts_ms, cast(floor(value * 1000000) as bigint) as latency_ns,
+                    event_type as file, event_id as pos from events)""",
+)
 def _(t):
-    return E.merge_logs(t.latency)
+    lines = t.events.select(
+        F.expr("unix_micros(cast(ts as timestamp)) div 1000000").alias("ts_ms"),
+        F.floor(F.col("value") * 1_000_000).cast("bigint").alias("latency_ns"),
+        F.col("event_type").alias("file"),
+        F.col("event_id").alias("pos"),
+    )
+    first = F.col("pos") % 2 == 0
+    return E.merge_logs(lines.filter(first), lines.filter(~first))
 
 
 @query(
     "executors_by_weight",
     """select e.executor, round(0.5 * e.load / (select sum(load) from fx_executor_load)
-              + 0.5 * x.traffic / (select sum(traffic) from fx_executor_pairs), 9) as weight
+              + 0.5 * x.traffic / (select sum(traffic) from fx_executor_pairs), 9) as weight,
+              row_number() over (order by 0.5 * e.load / (select sum(load) from fx_executor_load)
+              + 0.5 * x.traffic / (select sum(traffic) from fx_executor_pairs) desc, e.executor) - 1 as position
        from fx_executor_load e join fx_executor_traffic x on x.executor = e.executor""",
 )
 def _(t):
     ranked = K.executors_by_weight(K.executor_weight(t.load, t.traffic, t.executors))
-    return ranked.select("executor", r9("weight").alias("weight"))
+    return ranked.select("executor", r9("weight").alias("weight"), F.col("position").cast("bigint").alias("position"))
 
 
 @query(
@@ -1352,6 +1366,22 @@ def _(t):
     return spread.withColumn("max_traffic", F.round("max_traffic", 6))
 
 
+@query(
+    "whatif_training_set",
+    """select snapshot_id, task_id, component, traffic, load,
+              round(norm_traffic / ((60000.0::double * 20 / 60) / 11740.0::double), 9) as norm_traffic,
+              round(norm_load, 9) as norm_load
+       from fx_component_train""",
+)
+def _(t):
+    points = R.task_points(t.traffic, t.load, t.tasks, t.components)
+    _, train = J.whatif_training_set(
+        points, t.edges, mean_alfa(t), t.components, t.node,
+        max_traffic=60000.0, factor=0, current_max_sec=MAX_SEC, current_factor=20,
+    )
+    return train.withColumns({c: r9(c) for c in ("norm_traffic", "norm_load")})
+
+
 @query(
     "topology_listing",
     """select 'component' as item, 0::bigint as chunk,

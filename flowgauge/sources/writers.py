@@ -44,21 +44,34 @@ def _edge_text():
 
 
 def write_history(df: DataFrame, path: str, kind: str, *, run_id: str) -> None:
-    """Append profiled values of one run as CSV under ``run_id=<run_id>``."""
+    """Write profiled values of one run as CSV under ``run_id=<run_id>``.
+
+    Other runs stay; the same run written again replaces its rows.
+    """
     columns = {
         "worker": ["host", "traffic_in", "traffic_out", "load", "cpu"],
         "load": ["component", "traffic", "load"],
         "alfa": [_edge_text().alias("edge"), "alfa"],
         "tuple": [_edge_text().alias("edge"), "tuple_size"],
     }[kind]
-    df.select(*columns, F.lit(run_id).alias("run_id")).write.partitionBy("run_id").mode(
-        "append"
-    ).csv(path)
+    df.select(*columns, F.lit(run_id).alias("run_id")).write.partitionBy("run_id").option(
+        "partitionOverwriteMode", "dynamic"
+    ).mode("overwrite").csv(path)
 
 
-def write_training_set(df: DataFrame, path: str, *, columns: Sequence[str]) -> None:
-    """Append normalised rows as CSV, one folder per component."""
-    df.select(*columns, "component").write.partitionBy("component").mode("append").csv(path)
+def write_training_set(
+    df: DataFrame, path: str, *, columns: Sequence[str], run_id: str = "0", files: int = 8
+) -> None:
+    """Write normalised rows as CSV, one folder per component and run.
+
+    Other runs stay; the same run written again replaces its rows. A component gets at
+    most ``files`` files, so a hot one is not written by one task.
+    """
+    rows = df.select(*columns, "component", F.lit(run_id).alias("run_id"))
+    spread = F.pmod(F.xxhash64(*columns), F.lit(files))
+    rows.repartition("component", spread).write.partitionBy("component", "run_id").option(
+        "partitionOverwriteMode", "dynamic"
+    ).mode("overwrite").csv(path)
 
 
 def second_lines(series: DataFrame, value: str) -> DataFrame:
