@@ -31,9 +31,9 @@ from flowgauge.llm.common import components
 from flowgauge.llm.words import WordReader, chunks, shingles
 from flowgauge.runtime import cut_lineage, scratch_path
 
-GROUPS = 64
+GROUPS = 256
 #: Slots of the table of counts that orders shingles: rows times columns, whatever the corpus.
-SLOT_ROWS, SLOT_COLUMNS = 2048, 64
+SLOT_ROWS, SLOT_COLUMNS = 4096, 64
 SLOTS = SLOT_ROWS * SLOT_COLUMNS
 LEAF = 32
 
@@ -63,7 +63,7 @@ def _slot_counts(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
 
 def frequency_levels(texts: DataFrame, n: int) -> np.ndarray:
-    """How common the shingles of a slot are: 0 up to twice the mean of all slots, then one more per doubling.
+    """How common the shingles of a slot are, in steps of a thirty-second of a doubling.
 
     Every document counts. Tasks sum their slots first and Spark sums the tables row by
     row; what reaches the driver has the size of the table.
@@ -74,8 +74,7 @@ def frequency_levels(texts: DataFrame, n: int) -> np.ndarray:
     counts = np.zeros((SLOT_ROWS, SLOT_COLUMNS))
     for r in rows:
         counts[r["row"]] = r[1:]
-    mean = counts.mean() or 1.0
-    return np.log2(np.maximum(counts.ravel() / mean, 1.0)).astype(np.int8)
+    return np.rint(32 * np.log2(counts.ravel() + 1)).astype(np.int16)
 
 
 def _set_hash(found: np.ndarray) -> int:
@@ -115,6 +114,7 @@ def _located(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = WordReader()
+        seen: set[int] = set()  # repeated rows come to one task, but for rare splits, which do no harm
         for batch in batches:
             for start, texts in chunks(batch.column(1)):
                 wanted = batch.column(0).slice(start, len(texts)).to_pylist()
@@ -122,7 +122,8 @@ def _located(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                 rows = []
                 for i, node in enumerate(wanted):
                     found = np.unique(shingles(words[at[i] : at[i + 1]], n))
-                    if len(found) and _set_hash(found) == node:
+                    if len(found) and node not in seen and _set_hash(found) == node:
+                        seen.add(node)
                         group = ((found >> np.uint64(40)) % np.uint64(GROUPS)).astype(np.int64)
                         point = np.bincount(group, minlength=GROUPS).astype("<i4").tobytes()
                         rows.append((node, len(found), point, texts[i]))
@@ -195,38 +196,63 @@ class CountTree:
 
 
 def _tree_join(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows ``key, band, home, doc, component, size, point`` sorted by key and band."""
-
-    def cell(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(rows)
-        component = table.column("component").to_numpy()
-        if len(component) < 2 or (component == component[0]).all():
-            return
-        home, doc = table.column("home").to_numpy(zero_copy_only=False), table.column("doc").to_numpy()
+    """Pairs of rows ``key, band, home, doc, component, size, point``, sorted by key and band.
+
+    Cells that fit into one leaf, most of them, are read many at a time; a larger one gets
+    its tree.
+    """
+
+    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, band = table.column("key").to_numpy(), table.column("band").to_numpy()
+        doc, component = table.column("doc").to_numpy(), table.column("component").to_numpy()
+        home, size = table.column("home").to_numpy(), table.column("size").to_numpy()
         points = np.concatenate([_points(c) for c in table.column("point").chunks])
-        for a, b in CountTree(points, table.column("size").to_numpy()).pairs(percent):
+
+        def kept(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             # A pair belongs to the upper of its bands; it is met there once.
-            keep = (component[a] != component[b]) & (home[a] | home[b])
-            low, high = np.minimum(doc[a], doc[b])[keep], np.maximum(doc[a], doc[b])[keep]
-            if len(low):
-                yield pa.RecordBatch.from_pydict({"a": pa.array(low, pa.int64()), "b": pa.array(high, pa.int64())})
+            near = 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
+            return near & (component[a] != component[b]) & (home[a] | home[b])
+
+        def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            low, high = np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b])
+            return pa.RecordBatch.from_pydict({"a": pa.array(low, pa.int64()), "b": pa.array(high, pa.int64())})
+
+        begin = np.nonzero(np.append(True, (key[1:] != key[:-1]) | (band[1:] != band[:-1])))[0]
+        length = np.diff(np.append(begin, len(key)))
+        cell = np.repeat(np.arange(len(begin)), length)
+        small = np.repeat(length <= LEAF, length)
+        for apart in range(1, min(LEAF, length.max())):
+            a = np.nonzero((cell[:-apart] == cell[apart:]) & small[:-apart])[0]
+            b = a + apart
+            keep = kept(a, b)
+            a, b = a[keep], b[keep]
+            keep = np.minimum(points[a], points[b]).sum(axis=1) >= needed(size[a] + size[b], percent)
+            if keep.any():
+                yield out(a[keep], b[keep])
+        for at, n in zip(begin[length > LEAF], length[length > LEAF], strict=True):
+            if (component[at : at + n] != component[at]).any():
+                for a, b in CountTree(points[at : at + n], size[at : at + n]).pairs(percent):
+                    keep = kept(a + at, b + at)
+                    yield out(a[keep] + at, b[keep] + at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
+        held: list[pa.RecordBatch] = []  # rows of the cell that the last batch ended in
         for batch in batches:
             if not batch.num_rows:
                 continue
             key, band = batch.column("key").to_numpy(), batch.column("band").to_numpy()
             new = np.nonzero((key[1:] != key[:-1]) | (band[1:] != band[:-1]))[0] + 1
-            for a, b in zip([0, *new], [*new, len(key)], strict=True):
-                if held and last != (key[a], band[a]):
-                    yield from cell(held)
-                    held = []
-                last = (key[a], band[a])
-                held.append(batch.slice(a, b - a))
+            last = held and (held[0].column("key")[0].as_py(), held[0].column("band")[0].as_py())
+            if held and last != (key[0], band[0]):
+                yield from pairs(pa.Table.from_batches(held))
+                held = []
+            if len(new):
+                yield from pairs(pa.Table.from_batches([*held, batch.slice(0, new[-1])]))
+                held = [batch.slice(new[-1])]
+            else:
+                held.append(batch)
         if held:
-            yield from cell(held)
+            yield from pairs(pa.Table.from_batches(held))
 
     return run
 
@@ -293,15 +319,15 @@ def jaccard_components(
     # One document stands for all with the same set.
     classes = cut_lineage(known.groupBy("node").agg(F.min("doc").alias("doc")))
     keyed = known.select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
-    cells = stored(keyed.join(shared.select("key", "hub"), "key").distinct(), "cells")
+    shared = keyed.groupBy("key").agg(F.min("node").alias("n0"), F.max("node").alias("n1")).where("n0 < n1")
+    cells = stored(keyed.join(shared.select("key"), "key").distinct(), "cells")
 
     # Only texts that share a cell with another set are moved.
     wanted = classes.join(cells.select("node").distinct(), "node")
     located = rows.join(wanted, "doc").select("node", "text").mapInArrow(
         _located(words), "node long, size long, point binary, text string"
     )
-    nodes = stored(located.dropDuplicates(["node"]), "nodes")
+    nodes = stored(located, "nodes")
 
     def side(x: str, *columns: str) -> DataFrame:
         return nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
@@ -310,8 +336,18 @@ def jaccard_components(
         both = pairs.join(side("a", "text"), "a").join(side("b", "text"), "b").select("a", "b", "text_a", "text_b")
         return cut_lineage(both.mapInArrow(_verifier(words, percent), "a long, b long"))
 
-    # Every document of a cell against the cell's first.
-    stars = cells.where("hub < node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    # Every document of a cell against the one that shares most of its cells: in a family of
+    # copies that is the text they were made from, or the one closest to it.
+    weights = cells.groupBy("node").agg(F.count("*").alias("n"))
+    hubs = (
+        cells.join(weights, "node").groupBy("key").agg(F.max(F.struct("n", "node")).alias("hub")).select("key", "hub.node")
+    )
+    stars = (
+        cells.join(hubs.withColumnRenamed("node", "hub"), "key")
+        .where("hub != node")
+        .select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+        .distinct()
+    )
     near = (
         stars.join(side("a", "size", "point"), "a")
         .join(side("b", "size", "point"), "b")
