@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import chain, filterfalse
 
@@ -37,7 +38,7 @@ WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 #: A block is closed once it holds so many ids; the last document stays whole.
 BLOCK_IDS = 1 << 16
 #: Ids that a task remembers for pieces of text before it starts afresh.
-REMEMBERED_PIECES = 700_000
+REMEMBERED_PIECES = 1_000_000
 
 BLOCK_SCHEMA = "part int, seq long, doc_ids array<long>, lengths array<int>, n_ids long, words binary"
 
@@ -119,6 +120,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.remembered = remembered
         #: Ids of pieces as bytes, those met of late and those met before them.
         self.known: dict[str, bytes] = {}
@@ -151,8 +153,9 @@ class PieceEncoder:
 
     def _word(self, text: str) -> bytes:
         """Ids of one pre-token: the library's model, without the steps around it."""
-        found = self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.written))
-        return np.array([t.id for t in found], dtype="<u4").tobytes()
+        if not text.isascii():
+            text = text.encode().decode("latin-1")
+        return array("I", [t.id for t in self.model.tokenize(text.translate(self.written))]).tobytes()
 
     def _learn(self, fresh: list[str]) -> None:
         known, others, ended = self.known, [], []
@@ -163,7 +166,7 @@ class PieceEncoder:
             ends = p[-1] in ".,;:!?"
             word = p[p[0] in "\0\n" : len(p) - ends]
             # Latin letters, so that the library surely takes them as letters too
-            if not (word.isalpha() and max(word) < "\u0250"):
+            if not (word.isalpha() and (word.isascii() or max(word) < "\u0250")):
                 others.append(p)
             elif p[0] == "\n":
                 known[p] = self._of("\n") + self._word(word) + (self._of(p[-1]) if ends else b"")
@@ -181,7 +184,7 @@ class PieceEncoder:
             some = others[at : at + 4096]
             raw = [p[1:] if p[0] == "\0" else p if p[0] == "\n" else " " + p for p in some]
             got = self.tokenizer.encode(raw, is_pretokenized=True, add_special_tokens=False)
-            ids, owner = np.array(got.ids, dtype="<u4"), np.array(got.word_ids, dtype=np.int64)
+            ids, owner = np.array(got.ids, dtype=np.uint32), np.array(got.word_ids, dtype=np.int64)
             cut = np.searchsorted(owner, np.arange(len(some) + 1))
             for k, p in enumerate(some):
                 known[p] = ids[cut[k] : cut[k + 1]].tobytes()
@@ -189,7 +192,7 @@ class PieceEncoder:
     def _of(self, mark: str) -> bytes:
         key = "\0" + mark
         if key not in self.known:
-            self.known[key] = np.array(self.tokenizer.encode(mark, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            self.known[key] = np.array(self.tokenizer.encode(mark, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
         return self.known[key]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -198,7 +201,7 @@ class PieceEncoder:
         cut = [self.pieces(t) for t in texts]
         self._learn(list(set(filterfalse(self.known.__contains__, chain.from_iterable(cut)))))
         ids = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(ids, pieces)), dtype="<u4") for pieces in cut]
+        return [np.frombuffer(b"".join(map(ids, pieces)), dtype=np.uint32) for pieces in cut]
 
 
 def _encoder(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
