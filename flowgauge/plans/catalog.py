@@ -1734,7 +1734,7 @@ def _(t):
     rows = t.load.withColumn("ts", F.col("ts").cast("timestamp"))
     path = scratch_path(t.spark, "state")
     L.latest_state_stream(stored_stream(t, rows, "loads"), path, ["task_id"]).awaitTermination()
-    return L.latest_state(t.spark, path, ["task_id"]).select("task_id", "load", "snapshot_id")
+    return L.latest_state(t.spark, path).select("task_id", "load", "snapshot_id")
 
 
 @query("cpu_stream", "select host, seq as ts_ms, cpu_percent, cpu_usage from fx_rolling")
@@ -1753,6 +1753,6 @@ def _(t):
     state, path = scratch_path(t.spark, "state"), scratch_path(t.spark, "snapshots")
     L.latest_state_stream(source, state, ["task_id"]).awaitTermination()
     L.snapshot_stream(
-        source, path, lambda: L.latest_state(t.spark, state, ["task_id"]), trigger={"availableNow": True}
+        source, path, lambda: L.latest_state(t.spark, state), trigger={"availableNow": True}
     ).awaitTermination()
     return L.read_updates(t.spark, path).select("snapshot_id", "task_id", "load")

@@ -23,7 +23,7 @@ from pyspark.sql.types import StructType
 
 from flowgauge.functions.scalars import int_div, tuple_bytes
 from flowgauge.operators.filters import user_tasks
-from flowgauge.sources.writers import newest_per_key
+from flowgauge.sources.writers import newest_per_key, upsert_state
 
 BUCKET = "10 seconds"
 WATERMARK = "10 minutes"
@@ -31,8 +31,12 @@ WATERMARK = "10 minutes"
 SIZE_TRIGGER = {"processingTime": "60 seconds"}
 
 
-def file_stream(spark: SparkSession, folder: str, schema: StructType, glob: str = "*") -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
+def file_stream(
+    spark: SparkSession, folder: str, schema: StructType, glob: str = "*", *, max_files: int | None = None
+) -> DataFrame:
+    """Files of a folder as a stream; ``max_files`` bounds a micro-batch, so a backlog is read in steps."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    return (reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)).parquet(folder)
 
 
 # --- windowed roll-ups -----------------------------------------------------------
@@ -275,23 +279,52 @@ def final_values(updates: DataFrame, keys: Sequence[str]) -> DataFrame:
 def latest_state_stream(
     rows: DataFrame, path: str, keys: Sequence[str], *, ts: str = "ts", trigger: dict | None = None
 ) -> StreamingQuery:
-    """Keep the newest row per key as a table.
+    """Keep the newest row per key as a table; a later batch wins equal times.
 
-    Each micro-batch stores only its own newest row per key; :func:`latest_state`
-    merges the batches when the table is read.
+    Each micro-batch merges its rows into the version before and stores the result as
+    its own version. Two versions are kept, so the folder does not grow with the number
+    of batches, a batch that is tried again finds what it started from, and a reader of
+    the older version is not cut off.
     """
-    return run_updates(
-        rows,
-        path,
-        output_mode="append",
-        trigger=trigger,
-        transform=lambda batch, _: newest_per_key(batch, keys, [ts]),
+
+    def merge(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        newest = newest_per_key(batch, keys, [ts])
+        older = [v for v in state_versions(spark, path) if v < epoch]
+        if older:
+            newest = upsert_state(spark.read.parquet(f"{path}/data/epoch={older[-1]}"), newest, keys, ts=ts)
+        newest.write.mode("overwrite").parquet(f"{path}/data/epoch={epoch}")
+        for version in older[:-1]:
+            files, at = _files(spark, f"{path}/data/epoch={version}")
+            files.delete(at, True)
+
+    return (
+        rows.writeStream.outputMode("append")
+        .option("checkpointLocation", f"{path}/checkpoint")
+        .trigger(**(trigger or {"availableNow": True}))
+        .foreachBatch(merge)
+        .start()
     )
 
 
-def latest_state(spark: SparkSession, path: str, keys: Sequence[str], *, ts: str = "ts") -> DataFrame:
-    """The newest row per key over all stored micro-batches; a later batch wins ties."""
-    return newest_per_key(read_updates(spark, path), keys, [ts, "epoch"]).drop("epoch")
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def state_versions(spark: SparkSession, path: str) -> list[int]:
+    """Epochs whose version of a latest state is stored whole, in order."""
+    files, at = _files(spark, f"{path}/data")
+    if not files.exists(at):
+        return []
+    found = [str(s.getPath()) for s in files.listStatus(at)]
+    done = [p for p in found if "epoch=" in p and files.exists(_files(spark, f"{p}/_SUCCESS")[1])]
+    return sorted(int(p.rpartition("epoch=")[2]) for p in done)
+
+
+def latest_state(spark: SparkSession, path: str) -> DataFrame:
+    """The newest row per key, as of the last version stored whole."""
+    return spark.read.parquet(f"{path}/data/epoch={state_versions(spark, path)[-1]}")
 
 
 def snapshot_stream(

@@ -105,10 +105,11 @@ def test_latest_state_and_snapshots(spark):
     stream = in_files(spark, df, "ts", 4)
     state, snaps = scratch_path(spark, "state"), scratch_path(spark, "snaps")
     L.latest_state_stream(stream, state, ["k"]).awaitTermination()
-    latest = L.latest_state(spark, state, ["k"]).select("k", "ts", "v")
+    latest = L.latest_state(spark, state).select("k", "ts", "v")
     assert plain(latest) == plain(SNK.newest_per_key(df, ["k"], ["ts"]))
+    assert L.state_versions(spark, state) == [2, 3]  # however many batches there were
     L.snapshot_stream(
-        stream, snaps, lambda: L.latest_state(spark, state, ["k"]), trigger={"availableNow": True}
+        stream, snaps, lambda: L.latest_state(spark, state), trigger={"availableNow": True}
     ).awaitTermination()
     got = L.read_updates(spark, snaps)
     assert sorted(r[0] for r in got.select("snapshot_id").distinct().collect()) == [0, 1, 2, 3]
