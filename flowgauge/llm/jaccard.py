@@ -31,7 +31,9 @@ from flowgauge.llm.common import components
 from flowgauge.llm.words import WordReader, chunks, shingles
 from flowgauge.runtime import cut_lineage, scratch_path
 
-GROUPS = 256
+GROUPS = 128
+#: Numbers of a point are one byte each; a group with so many shingles or more bounds nothing.
+MANY = 255
 #: Slots of the table of counts that orders shingles: rows times columns, whatever the corpus.
 SLOT_ROWS, SLOT_COLUMNS = 4096, 64
 SLOTS = SLOT_ROWS * SLOT_COLUMNS
@@ -125,7 +127,7 @@ def _located(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                     if len(found) and node not in seen and _set_hash(found) == node:
                         seen.add(node)
                         group = ((found >> np.uint64(40)) % np.uint64(GROUPS)).astype(np.int64)
-                        point = np.bincount(group, minlength=GROUPS).astype("<i4").tobytes()
+                        point = np.minimum(np.bincount(group, minlength=GROUPS), MANY).astype(np.uint8).tobytes()
                         rows.append((node, len(found), point, texts[i]))
                 node, size, point, text = zip(*rows, strict=True) if rows else ((), (), (), ())
                 yield pa.RecordBatch.from_pydict(
@@ -141,7 +143,9 @@ def _located(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
 
 
 def _points(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<i4").reshape(-1, GROUPS)
+    found = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, GROUPS).astype(np.int32)
+    found[found == MANY] = 1 << 22
+    return found
 
 
 def _within_bound(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -364,12 +368,22 @@ def jaccard_components(
     apart = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
     # Bands are a little wider than the sizes of a linked pair can differ, so partners are one band apart at most.
     band = F.floor(F.log(F.col("size").cast("double")) / F.lit(float(np.log(100 / percent)) * 1.001)).cast("int")
-    left = (
+    banded = cut_lineage(
         placed.join(apart.select("key"), "key")
-        .join(nodes.select("node", "size", "point"), "node")
-        .withColumn("own", band)
+        .join(nodes.select("node", band.alias("own")), "node")
         .withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
-        .select("key", "band", (F.col("band") == F.col("own")).alias("home"), F.col("node").alias("doc"), "component", "size", "point")
+        .select("key", "band", (F.col("band") == F.col("own")).alias("home"), "node", "component")
+    )
+    # Most bands of a cell hold one component; their points need not be moved.
+    mixed = (
+        banded.groupBy("key", "band")
+        .agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("home").alias("met"))
+        .where("c0 < c1 AND met")
+    )
+    left = (
+        banded.join(mixed.select("key", "band"), ["key", "band"])
+        .join(nodes.select("node", "size", "point"), "node")
+        .select("key", "band", "home", F.col("node").alias("doc"), "component", "size", "point")
     )
     met = left.repartition("key", "band").sortWithinPartitions("key", "band").mapInArrow(_tree_join(percent), "a long, b long")
     more = verified(cut_lineage(met.distinct()))
