@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowgauge.llm.common import SPACE_CHARS, ascii_lower
+from flowgauge.runtime import cut_lineage
 
 
 def line_key(line: Column) -> Column:
@@ -61,6 +62,8 @@ def dedup_lines(
             .agg(F.min("__doc").alias("__first"), F.count("*").alias("__n"))
             .where(F.col("__n") >= min_docs)
         )
+    # Written first: adaptive execution splits a hot key only where both sides are shuffled for the join itself.
+    common = cut_lineage(common)
     dropped = (
         lines.join(common.select("__h1", "__h2", "__first"), ["__h1", "__h2"])
         .where("__doc != __first")
