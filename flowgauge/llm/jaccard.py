@@ -324,7 +324,8 @@ def jaccard_components(
     classes = cut_lineage(known.groupBy("node").agg(F.min("doc").alias("doc")))
     keyed = known.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("n0"), F.max("node").alias("n1")).where("n0 < n1")
-    cells = stored(keyed.join(shared.select("key"), "key").distinct(), "cells")
+    # Sides of joins by key are written first, so that adaptive execution can split hot keys.
+    cells = stored(keyed.join(cut_lineage(shared.select("key")), "key").distinct(), "cells")
 
     # Only texts that share a cell with another set are moved.
     wanted = classes.join(cells.select("node").distinct(), "node")
@@ -347,7 +348,7 @@ def jaccard_components(
         cells.join(weights, "node").groupBy("key").agg(F.max(F.struct("n", "node")).alias("hub")).select("key", "hub.node")
     )
     stars = (
-        cells.join(hubs.withColumnRenamed("node", "hub"), "key")
+        cells.join(cut_lineage(hubs).withColumnRenamed("node", "hub"), "key")
         .where("hub != node")
         .select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
         .distinct()
@@ -369,7 +370,7 @@ def jaccard_components(
     # Bands are a little wider than the sizes of a linked pair can differ, so partners are one band apart at most.
     band = F.floor(F.log(F.col("size").cast("double")) / F.lit(float(np.log(100 / percent)) * 1.001)).cast("int")
     banded = cut_lineage(
-        placed.join(apart.select("key"), "key")
+        placed.join(cut_lineage(apart.select("key")), "key")
         .join(nodes.select("node", band.alias("own")), "node")
         .withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
         .select("key", "band", (F.col("band") == F.col("own")).alias("home"), "node", "component")
