@@ -322,10 +322,26 @@ def jaccard_components(
     known = described.where("doc IS NOT NULL AND node IS NOT NULL")
     # One document stands for all with the same set.
     classes = cut_lineage(known.groupBy("node").agg(F.min("doc").alias("doc")))
-    keyed = known.select("node", F.explode("keys").alias("key"))
+    keyed = known.select("node", "size", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("n0"), F.max("node").alias("n1")).where("n0 < n1")
     # Sides of joins by key are written first, so that adaptive execution can split hot keys.
-    cells = stored(keyed.join(cut_lineage(shared.select("key")), "key").distinct(), "cells")
+    shared = cut_lineage(shared.select("key"))
+    # A cell is a key and a band of sizes. Bands are a little wider than the sizes of a linked
+    # pair can differ, so partners are one band apart at most: a set is in its own band, its
+    # home, and in the next.
+    own = F.floor(F.log(F.col("size").cast("double")) / F.lit(float(np.log(100 / percent)) * 1.001)).cast("int")
+    banded = cut_lineage(
+        keyed.join(shared, "key")
+        .select("key", "node", own.alias("own"))
+        .distinct()
+        .withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+        .select("key", "band", (F.col("band") == F.col("own")).alias("home"), "node")
+    )
+    met = banded.groupBy("key", "band").agg(
+        F.min("node").alias("n0"), F.max("node").alias("n1"), F.max("home").alias("met")
+    )
+    met = cut_lineage(met.where("n0 < n1 AND met").select("key", "band"))
+    cells = stored(banded.join(met, ["key", "band"]), "cells")
 
     # Only texts that share a cell with another set are moved.
     wanted = classes.join(cells.select("node").distinct(), "node")
@@ -345,11 +361,14 @@ def jaccard_components(
     # copies that is the text they were made from, or the one closest to it.
     weights = cells.groupBy("node").agg(F.count("*").alias("n"))
     hubs = (
-        cells.join(weights, "node").groupBy("key").agg(F.max(F.struct("n", "node")).alias("hub")).select("key", "hub.node")
+        cells.join(weights, "node")
+        .groupBy("key", "band")
+        .agg(F.max(F.struct("n", "node", "home")).alias("hub"))
+        .select("key", "band", F.col("hub.node").alias("hub"), F.col("hub.home").alias("hub_home"))
     )
     stars = (
-        cells.join(cut_lineage(hubs).withColumnRenamed("node", "hub"), "key")
-        .where("hub != node")
+        cells.join(cut_lineage(hubs), ["key", "band"])
+        .where("hub != node AND (home OR hub_home)")
         .select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
         .distinct()
     )
@@ -362,32 +381,18 @@ def jaccard_components(
     links = verified(cut_lineage(near))
     parts = cut_lineage(components(links))
 
-    # Documents of a cell that are still apart, through the cell's tree, by bands of size.
-    placed = cells.select("key", "node").join(parts, "node", "left").select(
-        "key", "node", F.coalesce("component", "node").alias("component")
-    )
-    apart = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
-    # Bands are a little wider than the sizes of a linked pair can differ, so partners are one band apart at most.
-    band = F.floor(F.log(F.col("size").cast("double")) / F.lit(float(np.log(100 / percent)) * 1.001)).cast("int")
-    banded = cut_lineage(
-        placed.join(cut_lineage(apart.select("key")), "key")
-        .join(nodes.select("node", band.alias("own")), "node")
-        .withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
-        .select("key", "band", (F.col("band") == F.col("own")).alias("home"), "node", "component")
-    )
-    # Most bands of a cell hold one component; their points need not be moved.
-    mixed = (
-        banded.groupBy("key", "band")
-        .agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("home").alias("met"))
-        .where("c0 < c1 AND met")
+    # Documents of a cell that are still apart, through the cell's tree.
+    placed = cells.join(parts, "node", "left").select(
+        "key", "band", "home", "node", F.coalesce("component", "node").alias("component")
     )
+    apart = placed.groupBy("key", "band").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
     left = (
-        banded.join(mixed.select("key", "band"), ["key", "band"])
+        placed.join(cut_lineage(apart.where("c0 < c1").select("key", "band")), ["key", "band"])
         .join(nodes.select("node", "size", "point"), "node")
         .select("key", "band", "home", F.col("node").alias("doc"), "component", "size", "point")
     )
-    met = left.repartition("key", "band").sortWithinPartitions("key", "band").mapInArrow(_tree_join(percent), "a long, b long")
-    more = verified(cut_lineage(met.distinct()))
+    pairs = left.repartition("key", "band").sortWithinPartitions("key", "band").mapInArrow(_tree_join(percent), "a long, b long")
+    more = verified(cut_lineage(pairs.distinct()))
     final = cut_lineage(components(links.unionByName(more)))
 
     joined = classes.join(final, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
