@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowgauge.llm import decontaminate, jaccard, mixing, tokens, toxicity
 from flowgauge.llm.common import table
@@ -22,10 +23,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows without an id belong to no group and stay.
     """
-    found = jaccard.jaccard_components(docs.select("doc_id", "text"))
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    found = jaccard.jaccard_components(docs.select("doc_id", "text")).where("doc_id IS NOT NULL")
+    per = found.groupBy("doc_id").agg(F.max(F.expr("doc_id = component_id")).alias("stays"), F.count("*").alias("n"))
+    # Only ids that go or repeat are looked up, so texts are not moved where these are few.
+    path = scratch_path(spark, "pipeline-copies")
+    per.where("NOT stays OR n > 1").select("doc_id", "stays").write.parquet(path)
+    looked_up = spark.read.schema("doc_id bigint, stays boolean").parquet(path)
+    single = docs.join(looked_up.select("doc_id"), "doc_id", "left_anti")
+    repeated = docs.join(looked_up.where("stays").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return single.unionByName(repeated).select(docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
