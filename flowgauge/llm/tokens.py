@@ -35,6 +35,9 @@ from flowgauge.runtime import scratch_path
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 
+#: Bits of small ids.
+_BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
 #: A block is closed once it holds so many ids; the last document stays whole.
 BLOCK_IDS = 1 << 16
 #: Ids that a task remembers for pieces of text before it starts afresh.
@@ -51,7 +54,10 @@ def pack(ids: np.ndarray) -> bytes:
         return b""
     bits = np.zeros(n + 240, dtype=np.uint8)
     # Exact below 2**52; wider ids are escaped whatever their width.
-    bits[:n] = np.where(ids >> np.uint64(30), 60, np.frexp((ids & np.uint64((1 << 30) - 1)).astype(np.float64))[1])
+    if ids.max() < len(_BITS):
+        bits[:n] = _BITS[ids.view(np.int64)]
+    else:
+        bits[:n] = np.where(ids >> np.uint64(30), 60, np.frexp((ids & np.uint64((1 << 30) - 1)).astype(np.float64))[1])
     # Widest id of every run that starts at a place, by doubling.
     widest, span = {1: bits}, 1
     while span < 128:
@@ -67,7 +73,7 @@ def pack(ids: np.ndarray) -> bytes:
         run = widest[half][:n]
         if half != count:
             run = np.maximum(run, widest[half][count - half : count - half + n])
-        choice[run <= width] = selector
+        np.copyto(choice, np.uint8(selector), where=run <= width)
     steps = COUNTS[choice].tolist()
     starts, at = [], 0
     while at < n:
