@@ -1,9 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Seeds are the word n-grams of the test items. Where a training text holds a rare seed of
-an item, the passage around it is aligned with the item word by word; copies score by how
+Seeds are the word n-grams of the test items. Where a training text holds a seed of an
+item, the passage around it is aligned with the item word by word; copies score by how
 much of the item they keep, through replaced, dropped and added words.
 
+No seed is left out for being common: a leak into many documents makes its own seeds so.
+What common seeds point at in vain falls to an exact bound instead: an alignment scores at
+most the full value of the item's words that the text, and then the passage, has at all.
+
 The tables of the items are sent to the executors in blocks of a fixed number of seeds,
 so their size is bounded however many items there are; each block is one pass.
 """
@@ -39,6 +43,9 @@ class Items:
     begin: np.ndarray  # postings of each seed
     item: np.ndarray
     place: np.ndarray
+    known: np.ndarray  # distinct words of all items, sorted
+    word: np.ndarray  # places in ``known`` of the items' words, one item after the other
+    start: np.ndarray  # where the words of each item begin (one entry more than items)
 
     @staticmethod
     def of(rows: list[tuple[int, str]]) -> Items:
@@ -51,7 +58,8 @@ class Items:
         place = np.concatenate([*[np.arange(len(f)) for f in found], np.zeros(0, dtype=np.int64)])
         order = np.argsort(flat, kind="stable")
         seeds, begin = np.unique(flat[order], return_index=True)
-        return Items([i for i, _ in rows], each, seeds, np.append(begin, len(flat)), item[order], place[order])
+        known, word = np.unique(words, return_inverse=True)
+        return Items([i for i, _ in rows], each, seeds, np.append(begin, len(flat)), item[order], place[order], known, word, at)
 
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in a text and the seeds found there."""
@@ -62,23 +70,11 @@ class Items:
         place = np.nonzero(self.seeds[at] == found)[0]
         return place, at[place]
 
-    def rare(self, documents: np.ndarray) -> Items:
-        """The items with their rare seeds alone, by the number of documents holding each seed.
-
-        Rare is meant within an item: a seed stays unless ten times as many documents hold
-        it as hold the item's seeds at the lower quartile, so an item that has leaked into
-        many documents keeps its seeds.
-        """
-        counts = documents[np.repeat(np.arange(len(self.seeds)), np.diff(self.begin))]
-        usual = np.zeros(len(self.ids))
-        if len(counts):
-            order = np.lexsort((counts, self.item))
-            own, first, n = np.unique(self.item[order], return_index=True, return_counts=True)
-            usual[own] = counts[order][first + n // 4]
-        keep = counts <= 10 * (usual[self.item] + 1)
-        seed = np.repeat(np.arange(len(self.seeds)), np.diff(self.begin))[keep]
-        left, begin = np.unique(seed, return_index=True)
-        return Items(self.ids, self.words, self.seeds[left], np.append(begin, keep.sum()), self.item[keep], self.place[keep])
+    def enough(self, least: float) -> np.ndarray:
+        """Score from which on a text counts as a copy of each item."""
+        length = np.diff(self.start)
+        full = MATCH * length
+        return np.where(length < FULL_WORDS, full, np.maximum(least * full, MATCH * FULL_WORDS / 2))
 
 
 def align(passages: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
@@ -108,32 +104,60 @@ def align(passages: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
     return best
 
 
-def _passages(items: Items, words: np.ndarray) -> list[tuple[int, int, int]]:
-    """``item, begin, end`` of the passages of a text that its seeds point at."""
+def _ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``begin, begin + 1, ...``, ``n`` of them, for each entry."""
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _passages(items: Items, words: np.ndarray, enough: np.ndarray, has: np.ndarray) -> list[tuple[int, int, int]]:
+    """``item, begin, end`` of the passages of a text that its seeds point at, without those
+    that hold too few of the item's words to score ``enough``.
+
+    ``has`` is room for a mark on each known word and one more, and is left as it was, unset.
+    """
     place, seed = items.hits(words)
     if not len(place):
         return []
     n = np.diff(items.begin)[seed]
-    posting = np.repeat(items.begin[seed] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    posting = _ranges(items.begin[seed], n)
     item, shift = items.item[posting], np.repeat(place, n) - items.place[posting]
+    at = np.minimum(np.searchsorted(items.known, words), len(items.known) - 1)
+    word = np.where(items.known[at] == words, at, -1)
+    # Every matching column of an alignment takes one of the item's words that the text has.
+    own, which = np.unique(item, return_inverse=True)
+    length = np.diff(items.start)
+    has[word] = True
+    held = np.add.reduceat(has[items.word[_ranges(items.start[own], length[own])]], np.cumsum(length[own]) - length[own], dtype=np.int64)
+    has[word] = False
+    hopeful = (MATCH * held >= enough[own])[which]
+    item, shift = item[hopeful], shift[hopeful]
+    if not len(item):
+        return []
     order = np.lexsort((shift, item))
     item, shift = item[order], shift[order]
-    length = np.array([len(items.words[i]) for i in item])
+    length = length[item]
     new = np.nonzero(np.append(True, (item[1:] != item[:-1]) | (shift[1:] - shift[:-1] > length[1:])))[0]
     out = []
     for a, b in zip(new, [*new[1:], len(item)], strict=True):
-        m = length[a]
-        out.append((int(item[a]), max(0, int(shift[a] - m // 2)), min(len(words), int(shift[b - 1] + m + m // 2))))
+        k, m = item[a], length[a]
+        begin, end = max(0, int(shift[a] - m // 2)), min(len(words), int(shift[b - 1] + m + m // 2))
+        has[word[begin:end]] = True
+        held = np.count_nonzero(has[items.word[items.start[k] : items.start[k + 1]]])
+        has[word[begin:end]] = False
+        if MATCH * held >= enough[k]:
+            out.append((int(k), begin, end))
     return out
 
 
 def scores(items: Items, texts: list[str], reader: WordReader, least: float) -> list[dict[int, float]]:
     """For each text the items copied into it, and the share of the item's full score."""
     words, at = reader.read(texts)
+    enough = items.enough(least)
+    has = np.zeros(len(items.known) + 1, dtype=bool)
     cases = []
     for i in range(len(texts)):
         own = words[at[i] : at[i + 1]]
-        cases += [(i, item, own[a:b]) for item, a, b in _passages(items, own)]
+        cases += [(i, item, own[a:b]) for item, a, b in _passages(items, own, enough, has)]
     cases.sort(key=lambda c: (len(c[2]), len(items.words[c[1]])))
     out: list[dict[int, float]] = [{} for _ in texts]
     at_once = 0
@@ -146,31 +170,14 @@ def scores(items: Items, texts: list[str], reader: WordReader, least: float) ->
         at_once += len(some)
         best = align([p for _, _, p in some], [items.words[k] for _, k, _ in some])
         for (i, k, _), score in zip(some, best, strict=True):
-            full = MATCH * len(items.words[k])
-            enough = full if len(items.words[k]) < FULL_WORDS else max(least * full, MATCH * FULL_WORDS / 2)
-            if score >= enough:
-                out[i][k] = max(out[i].get(k, 0.0), float(score) / full)
+            if score >= enough[k]:
+                out[i][k] = max(out[i].get(k, 0.0), float(score) / (MATCH * len(items.words[k])))
     return out
 
 
-def _seed_documents(items: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = WordReader(marks=False)
-        counts = np.zeros(len(items.value.seeds), dtype=np.int64)
-        for batch in batches:
-            for _, texts in chunks(batch.column(0)):
-                words, at = reader.read(texts)
-                for i in range(len(texts)):
-                    counts[np.unique(items.value.hits(words[at[i] : at[i + 1]])[1])] += 1
-        used = np.nonzero(counts)[0]
-        yield pa.RecordBatch.from_pydict({"seed": pa.array(used, pa.int64()), "n": pa.array(counts[used], pa.int64())})
-
-    return run
-
-
-def item_blocks(docs: DataFrame, items: DataFrame, item_col: str, item_text: str, text_col: str) -> Iterator[Broadcast]:
-    """The items, block by block, with the rare ones of their seeds; counts are over all ``docs``."""
-    spark = docs.sparkSession
+def item_blocks(items: DataFrame, item_col: str, item_text: str) -> Iterator[Broadcast]:
+    """The items, block by block."""
+    spark = items.sparkSession
     rows = items.where(F.col(item_col).isNotNull() & F.col(item_text).isNotNull()).select(
         F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text")
     )
@@ -179,13 +186,7 @@ def item_blocks(docs: DataFrame, items: DataFrame, item_col: str, item_text: str
     blocks = max(1, int(-(-weight // BLOCK_SEEDS)))
     for block in range(blocks):
         own = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).distinct().collect()
-        found = Items.of(sorted((r["item"], r["text"]) for r in own))
-        sent = spark.sparkContext.broadcast(found)
-        documents = np.zeros(len(found.seeds), dtype=np.int64)
-        counted = docs.select(text_col).mapInArrow(_seed_documents(sent), "seed long, n long")
-        for r in counted.groupBy("seed").agg(F.sum("n").alias("n")).collect():
-            documents[r["seed"]] = r["n"]
-        yield spark.sparkContext.broadcast(found.rare(documents))
+        yield spark.sparkContext.broadcast(Items.of(sorted((r["item"], r["text"]) for r in own)))
 
 
 def find_leaks(
@@ -225,7 +226,7 @@ def find_leaks(
 
         return run
 
-    for block in item_blocks(rows, items, item_col, item_text, "text"):
+    for block in item_blocks(items, item_col, item_text):
         found = rows.mapInArrow(scan(block), "doc long, item long, score double")
         out = found if out is None else out.unionByName(found)
     return out.select(F.col("doc").alias(id_col), F.col("item").alias("item_id"), "score")
@@ -254,6 +255,6 @@ def drop_leaks(
         return run
 
     left = docs
-    for block in item_blocks(docs, items, item_col, item_text, text_col):
+    for block in item_blocks(items, item_col, item_text):
         left = left.mapInArrow(keep(block), docs.schema)
     return left

@@ -165,6 +165,19 @@ def test_a_leak_into_many_documents_keeps_its_seeds(spark):
     assert decontaminate.find_leaks(df, marks).count() == 300
 
 
+def test_edited_and_half_leaks_into_many_documents(spark):
+    rng = random.Random(13)
+    edited, half = _random_text(rng, 30).split(" "), _random_text(rng, 30)
+    marks = spark.createDataFrame([(1, " ".join(edited)), (2, half)], "item_id long, text string")
+    edited[7], edited[15], edited[23] = "x", "y", "z"
+    docs = [(i, _random_text(rng, 10) + " " + " ".join(edited)) for i in range(300)]
+    docs += [(500 + i, _random_text(rng, 10) + " " + " ".join(half.split(" ")[:16]) + " " + _random_text(rng, 10)) for i in range(50)]
+    docs += [(600, half)] + [(700 + i, " ".join(half.split(" ")[20:24]) + " " + _random_text(rng, 40)) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(df, marks).collect()}
+    assert got == {(i, 1) for i in range(300)} | {(500 + i, 2) for i in range(50)} | {(600, 2)}
+
+
 def test_compact_windows_match_plain():
     rng = np.random.default_rng(9)
     v = rng.integers(1, 1 << 40, 400).astype(np.uint64)
