@@ -234,6 +234,26 @@ def test_passages_planted_among_others(spark):
     assert passages.repeated_passages(df.limit(0)).count() == 0
 
 
+def test_passages_behind_a_line_shared_with_a_hub(spark):
+    rng = random.Random(21)
+    reader = passages.WordReader()
+
+    def least(text):
+        """Places of the least shingle by the first two hashes."""
+        found = passages.shingles(reader.read([text])[0], 5)
+        return [int(np.argmin(passages.mix(found ^ np.uint64(0x51ED270B * (f + 1))) | np.uint64(1))) for f in (0, 1)]
+
+    # 30 words with their least shingles so far back that the side before them is in the line too.
+    line = next(t for t in iter(lambda: _random_text(rng, 30), None) if min(least(t)) >= 24)
+    ends = (line + " " + _random_text(rng, 20) for _ in iter(int, 1))
+    ends = [next(t for t in ends if min(p := least(t)) >= 24 and max(p) <= 25) for _ in range(12)]
+    docs = [(i, _random_text(rng, 80) + " " + line + " " + _random_text(rng, 80)) for i in range(40)]
+    docs += [(100 + 2 * k + j, _random_text(rng, 80) + " " + end) for k, end in enumerate(ends) for j in (0, 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["other_id"] for r in passages.repeated_passages(df).collect()}
+    assert got == {i: i ^ 1 for i in range(100, 124)}
+
+
 def test_edited_passages_verify():
     rng = random.Random(12)
     words = _random_text(rng, 140).split(" ")
