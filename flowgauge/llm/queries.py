@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowgauge.llm import decontaminate, embeddings, html, jaccard, language, lines, mixing, passages, tokens, toxicity
+from flowgauge.llm import (
+    decontaminate,
+    embeddings,
+    html,
+    jaccard,
+    language,
+    lines,
+    mixing,
+    passages,
+    resampling,
+    tokens,
+    toxicity,
+)
 from flowgauge.llm.common import held_out, table
 
 
@@ -70,6 +82,12 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_text(pages).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weighted = resampling.importance_weights(docs, table(spark, sf_dir, "benchmark").select("text"))
+    return resampling.draw(weighted).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_language_id,
@@ -82,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_source_mixing,
         op9_token_output,
         op10_html_extraction,
+        op13_importance_resampling,
     )
 }
 SQL: dict[str, str] = {"op2_line_dedup": lines.OP2_SQL, "op8_source_mixing": mixing.OP8_SQL}
