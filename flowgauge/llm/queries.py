@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowgauge.llm import (
+    classes,
     decontaminate,
     embeddings,
     html,
@@ -82,6 +83,12 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_text(pages).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op12_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, counts = classes.train_class_model(docs)
+    return classes.score_texts(docs, model, counts).withColumn("held_out", ~classes.learnt_from(F.col("doc_id")))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     weighted = resampling.importance_weights(docs, table(spark, sf_dir, "benchmark").select("text"))
@@ -100,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_source_mixing,
         op9_token_output,
         op10_html_extraction,
+        op12_class_lm,
         op13_importance_resampling,
     )
 }

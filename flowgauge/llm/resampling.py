@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from flowgauge.llm.words import raw_texts, word_blocks
 from flowgauge.runtime import cut_lineage
 
 BUCKETS = 10_000
@@ -33,18 +34,10 @@ BLOCK_DOCS = 64
 _WORD_BYTES = bytes(b if b > 127 else ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(256))
 
 
-def _runs(text: bytes, longest: int) -> Iterator[tuple[int, list[int]]]:
+def _runs(text: bytes | None, longest: int, block: int = BLOCK_BYTES) -> Iterator[tuple[int, list[int]]]:
     """Number of words and checksums of the runs that end in them, a block of the text at a time."""
-    text = text.translate(_WORD_BYTES)
     before: list[bytes] = []
-    at = 0
-    while at < len(text):
-        end = text.find(b" ", at + BLOCK_BYTES)
-        end = len(text) if end < 0 else end
-        fresh = text[at:end].split()
-        at = end
-        if not fresh:
-            continue
+    for fresh in word_blocks(text, _WORD_BYTES, block):
         words = before + fresh
         joined = [b" " + word for word in words]
         sums = list(map(crc32, words))
@@ -59,17 +52,12 @@ def _runs(text: bytes, longest: int) -> Iterator[tuple[int, list[int]]]:
 def _bucket_counts(text: bytes | None, longest: int, buckets: int) -> tuple[int, np.ndarray]:
     """Number of words, and of features in each bucket."""
     words, counts = 0, np.zeros(buckets, dtype=np.int64)
-    for n, sums in _runs(text or b"", longest):
+    for n, sums in _runs(text, longest):
         words += n
         counts += np.bincount(np.array(sums, dtype=np.int64) % buckets, minlength=buckets)
     return words, counts
 
 
-def _texts(batch: pa.RecordBatch, name: str) -> Iterator[bytes | None]:
-    column = batch.column(batch.schema.get_field_index(name))
-    return (value.as_py() for value in column.cast(pa.large_binary()))
-
-
 def bucket_totals(
     docs: DataFrame, text_col: str = "text", *, longest: int = LONGEST_RUN, buckets: int = BUCKETS
 ) -> np.ndarray:
@@ -78,7 +66,7 @@ def bucket_totals(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, dtype=np.int64)
         for batch in batches:
-            for text in _texts(batch, "text"):
+            for text in raw_texts(batch.column(batch.num_columns - 1)):
                 total += _bucket_counts(text, longest, buckets)[1]
         used = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["bucket", "n"])
@@ -165,7 +153,7 @@ def importance_weights(
         for batch in batches:
             words, sizes, weights = [], [], []
             held: list[np.ndarray] = []
-            for text in _texts(batch, "text"):
+            for text in raw_texts(batch.column(batch.num_columns - 1)):
                 n, counts = _bucket_counts(text, longest, buckets)
                 words.append(n)
                 sizes.append(int(counts.sum()))

@@ -65,6 +65,24 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
     return mix(h)
 
 
+def word_blocks(text: bytes | None, table: bytes, block: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Words of a text as bytes, a block of the text at a time; ``table`` maps what parts words to spaces."""
+    text = (text or b"").translate(table)
+    at = 0
+    while at < len(text):
+        end = text.find(b" ", at + block)
+        end = len(text) if end < 0 else end
+        words = text[at:end].split()
+        at = end
+        if words:
+            yield words
+
+
+def raw_texts(column: pa.Array) -> Iterator[bytes | None]:
+    """Texts as bytes, without decoding them."""
+    return (value.as_py() for value in column.cast(pa.large_binary()))
+
+
 def chunks(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
     """Places and texts, some at a time, NULL as the empty text."""
     held: list[str] = []

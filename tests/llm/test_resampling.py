@@ -61,12 +61,12 @@ def test_planes_equal_the_sum_of_products():
     assert resampling.GainPlanes.of(np.zeros(10000, dtype=np.int64)).weigh(counts).tolist() == [0] * 5
 
 
-def test_blocks_of_a_text_give_the_same_runs(monkeypatch):
+def test_blocks_of_a_text_give_the_same_runs():
     text = ("Ab, cdé 9x--" * 40 + "z" * 50 + " . . ." + "end of it") * 3
     whole = sorted(b for _, f in resampling._runs(text.encode(), 3) for b in f)
-    monkeypatch.setattr(resampling, "BLOCK_BYTES", 7)
-    assert sorted(b for _, f in resampling._runs(text.encode(), 3) for b in f) == whole
-    assert [b % 10000 for b in whole] and sorted(b % 10000 for b in whole) == sorted(plain_features(text)[1])
+    for block in (1, 7, 60):
+        assert sorted(b for _, f in resampling._runs(text.encode(), 3, block) for b in f) == whole
+    assert sorted(b % 10000 for b in whole) == sorted(plain_features(text)[1])
 
 
 def test_odd_rows(spark):
