@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from flowgauge.llm import (
     classes,
     decontaminate,
+    dialogue,
     embeddings,
     html,
     jaccard,
@@ -83,6 +84,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_text(pages).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return dialogue.digest_messages(dialogue.repair_messages(dialogue.damage(conversations)))
+
+
 def op12_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model, counts = classes.train_class_model(docs)
@@ -107,8 +113,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_source_mixing,
         op9_token_output,
         op10_html_extraction,
+        op11_conversation_repair,
         op12_class_lm,
         op13_importance_resampling,
     )
 }
-SQL: dict[str, str] = {"op2_line_dedup": lines.OP2_SQL, "op8_source_mixing": mixing.OP8_SQL}
+SQL: dict[str, str] = {
+    "op2_line_dedup": lines.OP2_SQL,
+    "op8_source_mixing": mixing.OP8_SQL,
+    "op11_conversation_repair": dialogue.OP11_SQL,
+}
