@@ -190,6 +190,8 @@ def draw(weighted: DataFrame, id_col: str = "doc_id", *, percent: int = 5, min_w
     unit = (F.conv(digest, 16, 10).cast("double") + 0.5) / 4294967296.0
     noise = F.floor(F.lit(-1000.0) * F.log(-F.log(unit))).cast("long")
     scored = weighted.withColumn("score", F.col("weight") + noise).withColumn("__may", F.col("n_words") >= min_words)
+    # Dealing by ranges reads its input twice.
+    scored = cut_lineage(scored)
     order = [F.desc("__may"), F.desc("score"), F.asc_nulls_last(id_col), F.asc("n_features"), F.asc("weight")]
     placed = cut_lineage(
         scored.repartitionByRange(*order)
