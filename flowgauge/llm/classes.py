@@ -195,6 +195,13 @@ def best_moves(
     return best, gain[i, best] - gain[i, home]
 
 
+def _few_units(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
+    """Batches of so many units at most, so that their lists stay small as numbers."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _side(batch: pa.RecordBatch, name: str, classes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Counts of each row's list by class of the other unit, and with the unit itself."""
     column = batch.column(batch.schema.get_field_index(name))
@@ -213,7 +220,7 @@ def _class_pairs(lists: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((k, k))
-        for batch in batches:
+        for batch in _few_units(batches):
             home = classes[batch.column(0).to_numpy(zero_copy_only=False)]
             np.add.at(total, home, _side(batch, "right", classes, k)[0])
         cell = np.nonzero(total.ravel())[0]
@@ -232,15 +239,14 @@ def _moves(lists: DataFrame, classes: np.ndarray, pairs: np.ndarray, parts: int,
     k = len(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few_units(batches):
             unit = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             home = classes[unit]
             (right, alone), (left, _) = (_side(batch, side, classes, k) for side in ("right", "left"))
             mine = np.nonzero(((unit * 2654435761 >> 7) % parts == part) & (home != END_CLASS))[0]
             best, gain = np.empty(len(mine), np.int64), np.empty(len(mine))
-            for at in range(0, len(mine), 64):
-                some = mine[at : at + 64]
-                best[at : at + 64], gain[at : at + 64] = best_moves(pairs, home[some], right[some], left[some], alone[some])
+            if len(mine):
+                best, gain = best_moves(pairs, home[mine], right[mine], left[mine], alone[mine])
             up = gain > 1e-6
             columns = [pa.array(unit[mine][up]), pa.array(best[up]), pa.array(gain[up])]
             yield pa.RecordBatch.from_arrays(columns, names=["unit", "best", "gain"])
