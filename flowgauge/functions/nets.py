@@ -53,29 +53,105 @@ def normal_sums(
     return np.concatenate([(jac.T @ (jac * n[:, None])).ravel(), jac.T @ (n * f - sum_y), [error]])
 
 
-def unpack_sums(sums: np.ndarray, k: int):
-    return sums[: k * k].reshape(k, k), sums[k * k : k * k + k], sums[-1]
+def gradient_sums(
+    w: np.ndarray, x: np.ndarray, n: np.ndarray, sum_y: np.ndarray, sum_yy: np.ndarray, hidden: int
+) -> np.ndarray:
+    """Additive sums of a gradient step, see :func:`normal_sums`: J'r and the squared error."""
+    f, jac = jacobian(w, x, hidden)
+    return np.append(jac.T @ (n * f - sum_y), (sum_yy - 2.0 * f * sum_y + n * f * f).sum())
+
+
+def mean_start(w: np.ndarray, mean: float, hidden: int) -> np.ndarray:
+    """The network that always gives the mean; hidden neurons as they are."""
+    w = w.copy()
+    w[:hidden], w[hidden] = 0.0, np.arctanh(np.clip(mean, -0.999999, 0.999999))
+    return w
+
+
+def line_start(w: np.ndarray, mean: float, slope: np.ndarray, centre: np.ndarray, hidden: int) -> np.ndarray:
+    """The network that follows a line through the mean, on the straight part of its first neuron."""
+    w = mean_start(w, mean, hidden)
+    flat = np.clip(mean, -0.999999, 0.999999)
+    steep = slope / (1.0 - flat * flat)
+    reach = np.abs(steep).sum()
+    if reach > 0:
+        small = 0.05 / (2.0 * reach)
+        first = np.append(steep * small, -(steep * small) @ centre)
+        w[0], w[hidden + 1 : hidden + 1 + len(first)] = 1.0 / small, first
+    return w
 
 
 @dataclass
-class Fit:
+class Search:
     """The search for one network's weights, from sums that others have added up."""
 
     w: np.ndarray
     scale: np.ndarray
     limit: float
     rows: float
-    damping: float = 1e-2
     sse: float = np.inf
     epochs: int = 0
 
-    def accept(self, w: np.ndarray, sums) -> None:
-        self.w, (self.jtj, self.jtr, self.sse) = w, sums
-
     @property
     def mse(self) -> float:
         return max(0.0, float(self.sse / self.rows))
 
+    def scaled_back(self, inputs: int, hidden: int) -> list[float]:
+        w = self.w.copy()
+        w[hidden + 1 :].reshape(hidden, inputs + 1)[:, :-1] /= self.scale
+        return w.tolist()
+
+
+@dataclass
+class Propagation(Search):
+    """Resilient propagation: each weight has a step of its own, which the sign of its gradient changes.
+
+    A step grows while the sign stays and halves where it turns; there the weight goes back if
+    the error rose. The best weights met are the result.
+    """
+
+    sums = staticmethod(gradient_sums)
+
+    def accept(self, w: np.ndarray, found: np.ndarray) -> None:
+        self.w = self.at = w
+        self.gradient, self.sse = found[:-1], found[-1]
+        self.error = self.sse
+        self.step = np.maximum(0.02 * np.abs(w), 1e-6)
+        self.back = np.zeros_like(w)
+        self.turned = np.zeros(len(w), dtype=bool)
+
+    @property
+    def done(self) -> bool:
+        return self.mse <= self.limit or bool((self.step <= 1e-12 * np.maximum(1.0, np.abs(self.at))).all())
+
+    def trials(self) -> list[np.ndarray]:
+        self.move = np.where(self.turned, self.back, -np.sign(self.gradient) * self.step)
+        return [self.at + self.move]
+
+    def choose(self, trials: list[np.ndarray], found: list[np.ndarray]) -> None:
+        self.epochs += 1
+        gradient, error = found[0][:-1], found[0][-1]
+        same = gradient * np.where(self.turned, 0.0, self.gradient)
+        self.step = np.clip(self.step * np.where(same > 0, 1.2, np.where(same < 0, 0.5, 1.0)), 0.0, 50.0)
+        self.turned = same < 0
+        self.back = -self.move if error > self.error else np.zeros_like(self.move)
+        self.at, self.gradient, self.error = trials[0], gradient, error
+        if error < self.sse:
+            self.w, self.sse = trials[0], error
+
+
+@dataclass
+class Newton(Search):
+    """Damped Gauss-Newton steps; one that does not lower the error is not taken."""
+
+    damping: float = 1e-2
+
+    sums = staticmethod(normal_sums)
+
+    def accept(self, w: np.ndarray, found: np.ndarray) -> None:
+        k = len(w)
+        self.w, self.jtj, self.jtr, self.sse = w, found[: k * k].reshape(k, k), found[k * k : k * k + k], found[-1]
+
     @property
     def done(self) -> bool:
         # At this damping a step no longer changes the weights.
@@ -90,14 +166,12 @@ class Fit:
 
     def choose(self, trials: list[np.ndarray], found: list) -> None:
         self.epochs += 1
-        best = min(range(len(found)), key=lambda i: found[i][2])
-        if found[best][2] < self.sse:
+        best = min(range(len(found)), key=lambda i: found[i][-1])
+        if found[best][-1] < self.sse:
             self.accept(trials[best], found[best])
             self.damping = max(1e-12, self.damping * (0.1, 1.0, 10.0)[best])
         else:
             self.damping *= 1000  # the three lengths tried reach from a tenth to ten times
 
-    def scaled_back(self, inputs: int, hidden: int) -> list[float]:
-        w = self.w.copy()
-        w[hidden + 1 :].reshape(hidden, inputs + 1)[:, :-1] /= self.scale
-        return w.tolist()
+
+METHODS = {"rprop": Propagation, "newton": Newton}

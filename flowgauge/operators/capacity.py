@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -18,6 +22,7 @@ from flowgauge.operators.rollup import (
     scope,
     zero_if_null,
 )
+from flowgauge.runtime import cut_lineage
 
 # The texts that say whether a placement can be judged.
 MEANINGFUL_YES = "meaningful: yes"
@@ -300,25 +305,39 @@ def sizing_candidates(executors: DataFrame, nodes: int | Column) -> DataFrame:
     return executors.withColumn("node_count", F.explode(F.sequence(F.lit(1).cast("bigint"), top.cast("bigint"))))
 
 
-def sizing_whatif(
-    exec_load: DataFrame, node: DataFrame, *, limit: float = 0.65, order: str = "start_task"
-) -> DataFrame:
-    """Peak node utilisation for each node count when executors are dealt out evenly.
+def _positioned(exec_load: DataFrame, order: str) -> DataFrame:
+    tie = [*scope(exec_load), "load"]
+    return dense_position(exec_load.select(order, *tie), [], order, tie=tie).select("pos", "load")
 
-    Nodes are taken in host order. ``exec_load`` has one row per executor with
-    ``load`` and an integer ``order`` column; executors of several applications that
-    tie on it are dealt in the order of the application, then of the load.
+
+def _residue_sums(placed: DataFrame, counts: Sequence[int]) -> DataFrame:
+    """``node_count, node_no, load``: sums over the executors dealt to each node, partial by task.
+
+    Executors are summed by the remainder of their position where they are read, so a chunk of
+    them gives at most a row for each node of each count, and never one for each executor.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pos = batch.column(0).to_numpy(zero_copy_only=False)
+            load = batch.column(1).fill_null(0).to_numpy(zero_copy_only=False)
+            for count in counts:
+                used, at = np.unique(pos % count, return_inverse=True)
+                sums = np.zeros(len(used), dtype=np.int64)
+                np.add.at(sums, at, load)
+                columns = [pa.array(np.full(len(used), count)), pa.array(used), pa.array(sums)]
+                yield pa.RecordBatch.from_arrays(columns, names=["node_count", "node_no", "load"])
+
+    whole = placed.select("pos", F.col("load").cast("bigint").alias("load"))
+    return whole.mapInArrow(run, "node_count bigint, node_no bigint, load bigint")
+
+
+def _peaks(placed: DataFrame, node: DataFrame, counts: Sequence[int], limit: float) -> DataFrame:
     # One row per machine of the cluster.
     numbered = node_capacity(node).select(
         "speed", (F.row_number().over(W.orderBy("host")) - 1).cast("bigint").alias("node_no")
     )
-    tie = [*scope(exec_load), "load"]
-    placed = dense_position(exec_load.select(order, *tie), [], order, tie=tie)
-    count = node.agg(F.count(F.lit(1))).scalar()
-    dealt = sizing_candidates(placed, count).groupBy(
-        "node_count", (F.col("pos") % F.col("node_count")).alias("node_no")
-    ).agg(F.sum("load").alias("load"))
+    dealt = _residue_sums(placed, counts).groupBy("node_count", "node_no").agg(F.sum("load").alias("load"))
     return (
         dealt.join(numbered, "node_no")
         .groupBy("node_count")
@@ -327,6 +346,36 @@ def sizing_whatif(
     )
 
 
+def sizing_whatif(
+    exec_load: DataFrame, node: DataFrame, *, limit: float = 0.65, order: str = "start_task"
+) -> DataFrame:
+    """Peak node utilisation for each node count when executors are dealt out evenly.
+
+    Nodes are taken in host order. ``exec_load`` has one row per executor with
+    ``load`` and an integer ``order`` column; executors of several applications that
+    tie on it are dealt in the order of the application, then of the load.
+    """
+    return _peaks(_positioned(exec_load, order), node, range(1, node.count() + 1), limit)
+
+
+def fewest_nodes(
+    exec_load: DataFrame, node: DataFrame, *, limit: float = 0.65, order: str = "start_task"
+) -> DataFrame:
+    """Fewest nodes without a bottleneck, else all of them, as :func:`min_nodes` of :func:`sizing_whatif`.
+
+    Counts are examined in ranges that double, 1, 2 to 3, 4 to 7 and so on, and no further than
+    the first range with a fit. NULL where there is no executor.
+    """
+    placed, total = cut_lineage(_positioned(exec_load, order)), node.count()
+    low, found, any_at_all = 1, None, not placed.isEmpty()
+    while any_at_all and found is None and low <= total:
+        fits = _peaks(placed, node, range(low, min(2 * low - 1, total) + 1), limit).filter("ok")
+        found = fits.agg(F.min("node_count")).first()[0]
+        low *= 2
+    nodes = found if found is not None or not any_at_all else total
+    return node.sparkSession.createDataFrame([(nodes,)], "nodes bigint")
+
+
 def min_nodes(whatif: DataFrame) -> DataFrame:
     """Fewest nodes without a bottleneck, else all of them."""
     return whatif.agg(

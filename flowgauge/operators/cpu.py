@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from flowgauge.functions.scalars import int_div
 from flowgauge.operators.ordered import dense_position, previous, scan, trailing
+from flowgauge.runtime import cut_lineage
 
 
 def busy_idle(counters: DataFrame) -> DataFrame:
@@ -102,7 +103,12 @@ def host_process_cpu_time(threads: DataFrame) -> DataFrame:
 # That is a chain through time, but a slab of time only needs to know the last
 # acceptance before it. Which reading a slab leaves with depends on the entry alone,
 # and entries can only differ inside the first ``gap`` of the slab, so each slab is
-# summarised by a short step function; chaining those gives every slab its entry.
+# summarised by a short step function. Step functions of neighbouring slabs compose to
+# one of the same kind, so blocks of slabs are summarised as slabs are, and blocks of
+# blocks, up to one block for a task; from there entries are handed down again.
+
+#: Slabs, or blocks, in a block: two to the power of this.
+_FAN_BITS = 6
 
 
 def _next_index(ts: np.ndarray, gap: int) -> np.ndarray:
@@ -139,17 +145,62 @@ def _slab_steps(gap: int, slab_ms: int):
     return steps
 
 
+def _after(steps: tuple, last_ms: int | None, last_ns: int, gap: int) -> tuple:
+    """The last acceptance behind some steps, given the one before them."""
+    until, ms, ns = steps
+    at = 0 if last_ms is None else int(np.searchsorted(until, last_ms + gap, side="left"))
+    return (int(ms[at]), int(ns[at])) if at < len(until) else (last_ms, last_ns)
+
+
+def _then(first: tuple, second: tuple, gap: int, start: int) -> tuple:
+    """Steps of two neighbouring stretches of time as one that begins at ``start``."""
+    until, ms, ns = first
+    at = np.searchsorted(second[0], ms + gap, side="left")
+    goes = at < len(second[0])
+    place = np.minimum(at, max(0, len(second[0]) - 1))
+    if len(second[0]):
+        ms, ns = np.where(goes, second[1][place], ms), np.where(goes, second[2][place], ns)
+    later = second[0] > until[-1] if len(until) else np.ones(len(second[0]), dtype=bool)
+    joined = [np.concatenate([a, b[later]]) for a, b in zip((until, ms, ns), second, strict=True)]
+    # All entries lie before the start, so what follows the first step beyond its gap is never met.
+    joined = [c[: np.searchsorted(joined[0], start + gap, side="left") + 1] for c in joined]
+    last_of_step = np.append(joined[1][1:] != joined[1][:-1], True)
+    return tuple(c[last_of_step] for c in joined)
+
+
+def _stretches(pdf: pd.DataFrame):
+    """Block number and steps of each block in a frame, in order."""
+    ordered = pdf.sort_values(["slab", "enter_until"])
+    for slab, rows in ordered.groupby("slab", sort=False):
+        yield int(slab), tuple(rows[c].to_numpy() for c in ("enter_until", "leave_ms", "leave_ns"))
+
+
+def _compose(gap: int, block_ms: int):
+    """Steps of a block of blocks; ``block_ms`` is the length of the whole."""
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        whole, parent = None, int(pdf["slab"].iloc[0]) >> _FAN_BITS
+        for _, steps in _stretches(pdf):
+            whole = steps if whole is None else _then(whole, steps, gap, parent * block_ms)
+        until, ms, ns = whole
+        return pd.DataFrame(
+            {"task_id": pdf["task_id"].iloc[0], "slab": parent, "enter_until": until, "leave_ms": ms, "leave_ns": ns}
+        )
+
+    return compose
+
+
 def _chain(gap: int):
+    """Entry of each block of one parent, from the entry of the parent."""
+
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values(["slab", "enter_until"])
-        last, slabs, entries = (None, 0), [], []
-        for slab, steps in ordered.groupby("slab", sort=False):
+        first = pdf["entry_ms"].iloc[0]
+        last = (None, 0) if pd.isna(first) else (int(first), int(pdf["entry_ns"].iloc[0]))
+        slabs, entries = [], []
+        for slab, steps in _stretches(pdf):
             slabs.append(slab)
             entries.append(last)
-            until = steps["enter_until"].to_numpy()
-            at = 0 if last[0] is None else int(np.searchsorted(until, last[0] + gap, side="left"))
-            if at < len(until):
-                last = (int(steps["leave_ms"].iloc[at]), int(steps["leave_ns"].iloc[at]))
+            last = _after(steps, *last, gap)
         return pd.DataFrame(
             {
                 "task_id": pdf["task_id"].iloc[0],
@@ -162,6 +213,39 @@ def _chain(gap: int):
     return chain
 
 
+def _entries(steps: DataFrame, task: str, gap: int, slab_ms: int) -> DataFrame:
+    """Last acceptance before each slab, over a tree of blocks of slabs.
+
+    No task holds more than one block's steps: as many blocks as its fan, with at most a step for
+    each millisecond of the gap.
+    """
+    steps = cut_lineage(steps)
+    spans = steps.groupBy("task_id").agg(F.min("slab").alias("lo"), F.max("slab").alias("hi"))
+    widths = [
+        F.max(F.shiftright("hi", _FAN_BITS * k) - F.shiftright("lo", _FAN_BITS * k)).alias(f"w{k}") for k in range(1, 11)
+    ]
+    wide = spans.agg(*widths).first()
+    levels = 1 + sum(bool(w) for w in wide)
+    tree = [steps]
+    for level in range(1, levels):
+        parent = F.shiftright("slab", _FAN_BITS)
+        block_ms = slab_ms << (_FAN_BITS * level)
+        tree.append(cut_lineage(tree[-1].groupBy("task_id", parent).applyInPandas(_compose(gap, block_ms), steps.schema)))
+    entries = None
+    for blocks in reversed(tree):
+        placed = blocks.withColumn("parent", F.shiftright("slab", _FAN_BITS))
+        if entries is None:
+            entry = [F.lit(None).cast("bigint").alias("entry_ms"), F.lit(0).cast("bigint").alias("entry_ns")]
+            placed = placed.select("*", *entry)
+        else:
+            names = {"slab": "parent", "last_ms": "entry_ms", "last_ns": "entry_ns"}
+            placed = placed.join(entries.withColumnsRenamed(names), ["task_id", "parent"])
+        entries = placed.groupBy("task_id", "parent").applyInPandas(
+            _chain(gap), f"{task}, slab bigint, last_ms bigint, last_ns bigint"
+        )
+    return entries
+
+
 def _mark(gap: int):
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values("ts_ms")
@@ -203,15 +287,11 @@ def accepted_readings(
         .filter(F.col("task_id").isNotNull() & F.col("slab").isNotNull())
     )
     task = f"task_id {thinned.schema['task_id'].dataType.simpleString()}"
-    entries = (
-        thinned.groupBy("task_id", "slab")
-        .applyInPandas(
-            _slab_steps(gap_ms, slab_ms),
-            f"{task}, slab bigint, enter_until bigint, leave_ms bigint, leave_ns bigint",
-        )
-        .groupBy("task_id")
-        .applyInPandas(_chain(gap_ms), f"{task}, slab bigint, last_ms bigint, last_ns bigint")
+    steps = thinned.groupBy("task_id", "slab").applyInPandas(
+        _slab_steps(gap_ms, slab_ms),
+        f"{task}, slab bigint, enter_until bigint, leave_ms bigint, leave_ns bigint",
     )
+    entries = _entries(steps, task, gap_ms, slab_ms)
     return (
         thinned.join(entries, ["task_id", "slab"])
         .groupBy("task_id", "slab")

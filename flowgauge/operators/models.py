@@ -117,49 +117,62 @@ def fit_networks(
     *,
     hidden: int,
     tolerance: float,
-    share: float | None = None,
     max_epochs: int,
+    method: str = "rprop",
+    starts: Sequence[str] = ("mean", "line"),
     seed: int = 7,
 ) -> DataFrame:
     """Fit one tanh network per key over any number of rows: ``keys, w, mse, n, epochs``.
 
     Rows are first grouped by key and equal inputs into count, sum and sum of squares
     of the target; squared error depends on nothing else. Every network starts as the
-    mean of its targets and takes damped Gauss-Newton steps. An epoch is one pass for
-    all networks together: tasks sum the normal equations of their own rows for a few
-    step lengths, Spark adds the sums per key, and the driver sees those few hundred
-    numbers per network to choose its next step. A step that does not lower the error
-    is not taken, so no network is worse than the mean.
-
-    A network is done at ``tolerance`` (or at ``share`` of its target's variance, if
-    given), where no step lowers the error any more, or after ``max_epochs``.
+    best of its ``starts``, the mean of its targets or the plane of least squares, and
+    none ends worse. An epoch is one pass for all networks together: tasks sum what a step needs
+    over their own rows, Spark adds the sums per key, and the driver sees those few
+    numbers per network to choose its next step. ``method`` is ``rprop``, resilient
+    propagation with a step of its own for each weight, or ``newton``, damped
+    Gauss-Newton steps, which take more sums and far fewer passes.
+
+    A network is done at a mean squared error of ``tolerance``, where no step changes
+    it any more, or after ``max_epochs``.
     """
     keys, inputs = list(keys), list(inputs)
-    spark, k, y = train.sparkSession, nets.size(len(inputs), hidden), F.col(target).cast("double")
+    spark, y, search = train.sparkSession, F.col(target).cast("double"), nets.METHODS[method]
     data = cut_lineage(
         train.groupBy(*keys, *[F.col(c).cast("double").alias(c) for c in inputs]).agg(
             F.count(F.lit(1)).cast("double").alias("__n"), F.sum(y).alias("__sy"), F.sum(y * y).alias("__syy")
         )
     )
-    # One row per network. Inputs are brought to one size for the search; weights are scaled back.
+    # One row per network: sizes of the inputs, and the sums of a plane of least squares.
+    pairs = [(i, j) for i in range(len(inputs)) for j in range(i + 1)]
     known = data.groupBy(*keys).agg(
         F.sum("__n").alias("n"),
         F.sum("__sy").alias("sy"),
-        F.sum("__syy").alias("syy"),
-        *[F.max(F.abs(F.col(c))).alias(f"__top_{c}") for c in inputs],
+        *[F.max(F.abs(F.col(c))).alias(f"__top_{i}") for i, c in enumerate(inputs)],
+        *[F.sum(F.col("__n") * F.col(c)).alias(f"__x_{i}") for i, c in enumerate(inputs)],
+        *[F.sum(F.col("__sy") * F.col(c)).alias(f"__xy_{i}") for i, c in enumerate(inputs)],
+        *[F.sum(F.col("__n") * F.col(inputs[i]) * F.col(inputs[j])).alias(f"__xx_{i}_{j}") for i, j in pairs],
     )
-    fits = {}
+    fits, tried = {}, {}
     for row in known.collect():
-        scale = np.array([row[f"__top_{c}"] or 1.0 for c in inputs])
-        mean = row["sy"] / row["n"]
-        limit = tolerance if share is None else share * max(0.0, row["syy"] / row["n"] - mean * mean)
+        # Inputs are brought to one size for the search; weights are scaled back.
+        scale = np.array([row[f"__top_{i}"] or 1.0 for i in range(len(inputs))])
+        n, mean = row["n"], row["sy"] / row["n"]
+        centre = np.array([row[f"__x_{i}"] for i in range(len(inputs))]) / scale / n
+        xy = np.array([row[f"__xy_{i}"] for i in range(len(inputs))]) / scale - n * mean * centre
+        xx = np.zeros((len(inputs), len(inputs)))
+        for i, j in pairs:
+            xx[i, j] = xx[j, i] = row[f"__xx_{i}_{j}"] / scale[i] / scale[j] - n * centre[i] * centre[j]
         w = nets.initial_weights(len(inputs), hidden, seed)
-        w[:hidden], w[hidden] = 0.0, np.arctanh(np.clip(mean, -0.999999, 0.999999))
-        fits[tuple(row[c] for c in keys)] = nets.Fit(w, scale, limit, row["n"])
+        key = tuple(row[c] for c in keys)
+        slope = np.linalg.lstsq(xx, xy, rcond=1e-10)[0]
+        begun = {"mean": nets.mean_start(w, mean, hidden), "line": nets.line_start(w, mean, slope, centre, hidden)}
+        tried[key] = [begun[start] for start in starts]
+        fits[key] = search(w, scale, tolerance, n)
 
-    def sums_at(trials: dict[tuple, list[np.ndarray]]) -> dict[tuple, list]:
+    def sums_at(trials: dict[tuple, list[np.ndarray]]) -> dict[tuple, np.ndarray]:
         scales = {key: fits[key].scale for key in trials}
-        order = list(trials)
+        order, sums = list(trials), search.sums
 
         def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = {}
@@ -170,20 +183,24 @@ def fit_networks(
                     if key in scales:
                         x = rows[inputs].to_numpy() / scales[key]
                         own = [rows[c].to_numpy() for c in ("__n", "__sy", "__syy")]
-                        found = np.array([nets.normal_sums(w, x, *own, hidden) for w in trials[key]])
+                        found = np.array([sums(w, x, *own, hidden) for w in trials[key]])
                         total[key] = total.get(key, 0.0) + found
             for key, found in total.items():
                 yield pd.DataFrame({"m": order.index(key), "i": np.arange(found.size), "v": found.ravel()})
 
         added = data.mapInPandas(partial, "m int, i int, v double").groupBy("m", "i").agg(F.sum("v").alias("v"))
-        flat = {key: np.zeros((len(ws), k * k + k + 1)) for key, ws in trials.items()}
+        flat: dict[int, dict[int, float]] = {}
         for row in added.collect():
-            flat[order[row["m"]]].flat[row["i"]] = row["v"]
-        return {key: [nets.unpack_sums(one, k) for one in found] for key, found in flat.items()}
+            flat.setdefault(row["m"], {})[row["i"]] = row["v"]
+        return {
+            order[m]: np.array([found[i] for i in range(len(found))]).reshape(len(trials[order[m]]), -1)
+            for m, found in flat.items()
+        }
 
     if fits:
-        for key, found in sums_at({key: [fit.w] for key, fit in fits.items()}).items():
-            fits[key].accept(fits[key].w, found[0])
+        for key, found in sums_at(tried).items():
+            best = int(np.argmin(found[:, -1]))
+            fits[key].accept(tried[key][best], found[best])
     for _ in range(max_epochs):
         trials = {key: fit.trials() for key, fit in fits.items() if not fit.done}
         if not trials:
@@ -196,12 +213,7 @@ def fit_networks(
 
 
 def fit_component_models(
-    train: DataFrame,
-    *,
-    tolerance: float = 3e-5,
-    share: float | None = None,
-    max_epochs: int = 50_000,
-    seed: int = 7,
+    train: DataFrame, *, tolerance: float = 3e-5, max_epochs: int = 50_000, method: str = "rprop", seed: int = 7
 ) -> DataFrame:
     """Fit traffic -> load per component with a tanh 1-3-1 network, see :func:`fit_networks`.
 
@@ -215,21 +227,19 @@ def fit_component_models(
         "norm_load",
         hidden=COMPONENT_HIDDEN,
         tolerance=tolerance,
-        share=share,
         max_epochs=max_epochs,
+        method=method,
         seed=seed,
     )
 
 
 def fit_worker_model(
-    train: DataFrame,
-    *,
-    tolerance: float = 0.015,
-    share: float | None = None,
-    max_epochs: int = 1_000,
-    seed: int = 7,
+    train: DataFrame, *, tolerance: float = 0.015, max_epochs: int = 1_000, method: str = "rprop", seed: int = 7
 ) -> DataFrame:
-    """Fit host traffic and load -> CPU with one tanh 3-4-1 network over all rows."""
+    """Fit host traffic and load -> CPU with one tanh 3-4-1 network over all rows.
+
+    It starts at the mean: a plane would bind the first of few neurons.
+    """
     return fit_networks(
         train,
         [],
@@ -237,8 +247,9 @@ def fit_worker_model(
         "norm_cpu",
         hidden=WORKER_HIDDEN,
         tolerance=tolerance,
-        share=share,
         max_epochs=max_epochs,
+        method=method,
+        starts=("mean",),
         seed=seed,
     )
 

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from flowgauge.runtime import cut_lineage
+
 SLAB_WIDTH = 1 << 20
 _SLAB = "__slab"
 
@@ -134,6 +136,29 @@ def dense_position(
     return counted.withColumn(name, F.col(name) - 1)
 
 
+def range_position(df: DataFrame, by: Sequence[str], *, name: str = "pos") -> DataFrame:
+    """``df`` in the order of ``by`` (NULL first) with the 0-based position of each row in it.
+
+    Rows are dealt by ranges once and sorted inside them; each partition numbers its rows and
+    adds the counts of the partitions before it, one row each. So partitions are of about
+    equal size however the values bunch, as long as ``by`` tells rows apart; rows equal in all
+    of it lie in one partition. The rows are stored once, since another job would cut the
+    ranges elsewhere.
+    """
+    placed = cut_lineage(
+        df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__place", F.monotonically_increasing_id())
+    )
+    part = F.shiftrightunsigned("__place", 33)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
+    offsets = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
+    # One row per partition, so the rows stay where they are and in their order.
+    return placed.join(F.broadcast(offsets), part == F.col("__part")).select(
+        *df.columns, (F.col("__before") + inside).alias(name)
+    )
+
+
 def trailing(
     df: DataFrame,
     keys: Sequence[str],

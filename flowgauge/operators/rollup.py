@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowgauge.functions.scalars import int_div
+from flowgauge.operators.intervals import within
 
 
 def scope(*dfs: DataFrame, extra: tuple[str, ...] = ()) -> list[str]:
@@ -265,26 +266,25 @@ def executor_tasks(executors: DataFrame) -> DataFrame:
 
 
 def executor_of_task(load: DataFrame, executors: DataFrame) -> DataFrame:
+    """``load`` with the executors whose range holds its task.
+
+    Only the distinct tasks meet the ranges, by pieces of them, see
+    :mod:`flowgauge.operators.intervals`; the rows are joined with what was found.
+    """
     keys = scope(load, executors)
-    opened = executor_tasks(executors).select(*keys, "task_id", "executor", "component")
-    return load.join(opened, [*keys, "task_id"])
+    ranges = executors.select(*keys, "executor", "component", "start_task", "end_task")
+    tasks = load.select(*keys, "task_id").distinct()
+    held = within(tasks, ranges, keys, "task_id", "start_task", "end_task")
+    return load.join(held.drop("start_task", "end_task"), [*keys, "task_id"])
 
 
 def executors_in_component(executors: DataFrame, task_bounds: DataFrame) -> DataFrame:
-    """Executors that lie inside the task range of a component.
-
-    The start task of such an executor is one of the ids in the range, so opening
-    the range turns both comparisons into an equi join and a filter.
-    """
+    """Executors that lie inside the task range of a component: their first task does, and they end in it."""
     keys = scope(executors, task_bounds)
-    opened = task_bounds.select(
-        *keys,
-        F.col("component").alias("owner"),
-        "max_task",
-        F.explode(F.sequence("min_task", "max_task")).alias("start_task"),
-    )
+    owners = task_bounds.select(*keys, F.col("component").alias("owner"), "min_task", "max_task")
+    starts = executors.select(*keys, "executor", "start_task", "end_task")
     return (
-        executors.join(opened, [*keys, "start_task"])
+        within(starts, owners, keys, "start_task", "min_task", "max_task")
         .filter(F.col("end_task") <= F.col("max_task"))
         .select(*keys, F.col("owner").alias("component"), "executor", "start_task", "end_task")
     )

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowgauge.functions.scalars import decimal_comma, int_div, ns_to_ms
-from flowgauge.operators.ordered import dense_position, integer_range, running, trailing
+from flowgauge.operators.ordered import integer_range, range_position, running, trailing
 from flowgauge.operators.rollup import scope
 
 # The column titles of a plot file.
@@ -138,11 +138,14 @@ def union_logs(*logs: DataFrame) -> DataFrame:
 
 
 def merge_logs(*logs: DataFrame, tie: Sequence[str] = ("file", "pos")) -> DataFrame:
-    """One log in time order with each row's ``position``; equal times keep file order, then line order."""
+    """One log in time order with each row's ``position``; equal times keep file order, then line order.
+
+    The result's partitions are ranges of the order and sorted, see
+    :func:`flowgauge.operators.ordered.range_position`.
+    """
     merged = union_logs(*logs)
-    tie = [c for c in tie if c in merged.columns]
-    placed = dense_position(merged, [], "ts_ms", name="position", tie=tie)
-    return placed.orderBy("ts_ms", *tie)
+    rest = [c for c in merged.columns if c not in ("ts_ms", *tie)]
+    return range_position(merged, ["ts_ms", *[c for c in tie if c in merged.columns], *rest], name="position")
 
 
 def zip_by_position(first: DataFrame, *others: DataFrame, on: str = "second") -> DataFrame:

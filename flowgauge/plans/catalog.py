@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowgauge import schemas
 from flowgauge.functions import scalars as S
 from flowgauge.operators import capacity as K
 from flowgauge.operators import cpu as C
@@ -20,8 +22,11 @@ from flowgauge.operators import series as E
 from flowgauge.plans.adapters import Telemetry
 from flowgauge.plans.oracles import with_views
 from flowgauge.runtime import scratch_path
+from flowgauge.sources import quarantine as Q
 from flowgauge.sources import readers as SRC
+from flowgauge.sources import state as ST
 from flowgauge.sources import writers as SNK
+from flowgauge.streaming import keyed as KS
 from flowgauge.streaming import streams as L
 
 MAX_SEC = 11740.0
@@ -234,6 +239,60 @@ def _(t):
     )
 
 
+def scanned(t: Telemetry, table: str, rows: DataFrame) -> DataFrame:
+    """Store rows as a telemetry table and read it back with its fixed schema."""
+    path = scratch_path(t.spark, "tables")
+    named = rows.withColumns({"topology_id": F.lit("app"), "ts": F.col("ts").cast("timestamp")}) if "ts" in rows.columns else rows
+    wanted = [f.name for f in schemas.TABLES[table].fields]
+    history = [c for c in ("snapshot_id",) if c in rows.columns]
+    typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.TABLES[table].fields]
+    named.select(*typed, *[F.col(c).cast("int").alias(c) for c in history]).write.parquet(f"{path}/{table}")
+    back = SRC.read_telemetry(t.spark, path, table, history=bool(history))
+    seconds = [F.unix_seconds("ts").alias("ts_s")] if "ts" in wanted else []
+    return back.select(*[c for c in back.columns if c != "ts"], *seconds)
+
+
+@query(
+    "read_telemetry_traffic",
+    """select 'app' as topology_id, cast(source_task_id as int) as source_task_id,
+              cast(destination_task_id as int) as destination_task_id, traffic, cast(snapshot_id as int) as snapshot_id,
+              cast(epoch_us(ts) // 1000000 as bigint) as ts_s from fx_traffic""",
+)
+def _(t):
+    return scanned(t, "traffic", t.traffic)
+
+
+@query(
+    "read_telemetry_worker",
+    """select hostname, cast(port as int) as port, cast(cpu_usage as int) as cpu_usage,
+              cast(snapshot_id as int) as snapshot_id, cast(epoch_us(ts) // 1000000 as bigint) as ts_s
+       from fx_worker""",
+)
+def _(t):
+    return scanned(t, "worker", t.worker)
+
+
+@query(
+    "read_telemetry_node",
+    "select hostname, cast(core_count as int) as core_count, cast(core_speed as bigint) as core_speed from fx_node",
+)
+def _(t):
+    return scanned(t, "node", t.node)
+
+
+@query(
+    "read_telemetry_tuplesize",
+    """select 'app' as topology_id, cast(z.source_task_id as int) as source_task_id,
+              cast(z.destination_task_id as int) as destination_task_id, tuplesizesum, tuplesizecount,
+              cast(z.snapshot_id as int) as snapshot_id, cast(epoch_us(ts) // 1000000 as bigint) as ts_s
+       from fx_tuplesize z join fx_traffic x on x.snapshot_id = z.snapshot_id
+            and x.source_task_id = z.source_task_id and x.destination_task_id = z.destination_task_id""",
+)
+def _(t):
+    keys = ["snapshot_id", "source_task_id", "destination_task_id"]
+    return scanned(t, "tuplesize", t.tuplesize.join(t.traffic.select(*keys, "ts"), keys))
+
+
 @query("read_latency_logs", "select ts_ms, latency_ns from fx_latency")
 def _(t):
     path = scratch_path(t.spark, "latency")
@@ -248,6 +307,39 @@ def _(t):
     return SRC.read_throughput_logs(t.spark, path).select("ts_ms", "cnt")
 
 
+@query(
+    "quarantine_lines",
+    """select reason, line, ts_ms::double as ts_ms, cnt::double as cnt, count(*) as n from (
+         select case when pos % 11 = 0 then 'empty line' when pos % 7 = 0 then '2 fields expected, 3 found'
+                     when pos % 5 = 0 then 'cnt is no bigint' end as reason,
+                case when pos % 11 = 0 then ' ' when pos % 7 = 0 then concat(ts_ms, ',', cnt, ',more')
+                     when pos % 5 = 0 then concat(ts_ms, ',x', cnt) end as line,
+                case when pos % 11 <> 0 and pos % 7 <> 0 and pos % 5 <> 0 then ts_ms end as ts_ms,
+                case when pos % 11 <> 0 and pos % 7 <> 0 and pos % 5 <> 0 then cnt end as cnt
+         from (select event_id as pos, epoch_us(ts) // 1000000 as ts_ms, 1 + user_id % 3 as cnt from events))
+       group by 1, 2, 3, 4""",
+)
+def _(t):
+    pos, (ts, cnt) = F.col("event_id"), (F.col(c).cast("string") for c in ("ts_ms", "cnt"))
+    rows = t.events.select(
+        "event_id",
+        F.expr("unix_micros(cast(ts as timestamp)) div 1000000").alias("ts_ms"),
+        (1 + F.col("user_id") % 3).alias("cnt"),
+    )
+    path = scratch_path(t.spark, "logs")
+    rows.select(
+        F.when(pos % 11 == 0, F.lit(" "))
+        .when(pos % 7 == 0, F.concat_ws(",", ts, cnt, F.lit("more")))
+        .when(pos % 5 == 0, F.concat(ts, F.lit(",x"), cnt))
+        .otherwise(F.concat_ws(",", ts, cnt))
+    ).write.text(path)
+    good, bad = Q.read_checked_log(t.spark, path, schemas.THROUGHPUT_LOG, scratch_path(t.spark, "checked"))
+    none = [F.lit(None).cast("string").alias(c) for c in ("reason", "line")]
+    empty = [F.lit(None).cast("bigint").alias(c) for c in ("ts_ms", "cnt")]
+    both = good.select(*none, "ts_ms", "cnt").unionByName(bad.select("reason", "line", *empty))
+    return as_double(both.groupBy("reason", "line", "ts_ms", "cnt").agg(F.count(F.lit(1)).alias("n")), "ts_ms", "cnt")
+
+
 @query("read_reports", "select row_id, second from fx_reports")
 def _(t):
     path = scratch_path(t.spark, "reports")
@@ -436,6 +528,19 @@ def _(t):
     )
 
 
+@query(
+    "bucketed_state",
+    """select task_id, arg_max(worker_hostname, ts) as worker_hostname,
+              arg_max(load, ts) as load, arg_max(snapshot_id, ts) as snapshot_id
+       from fx_load group by 1""",
+)
+def _(t):
+    path, load = scratch_path(t.spark, "state"), t.stored("load").load
+    for version, rows in enumerate((load.filter("snapshot_id <= 2"), load.filter("snapshot_id > 2"))):
+        ST.apply_rows(rows, path, ["task_id"], version, buckets=16)
+    return ST.read_state(t.spark, path).select("task_id", "worker_hostname", "load", "snapshot_id")
+
+
 @query(
     "write_history",
     """select host, traffic_in, traffic_out, load, cast(cpu as int) as cpu from fx_worker_points""",
@@ -1422,14 +1527,14 @@ def _(t):
     )
 
 
-def fit_facts(models, points, keys, target, net):
-    """What must hold of any fit: its rows, no worse than the mean, the error its weights really make."""
+def fit_facts(models, points, keys, target, net, bound):
+    """What must hold of any fit: its rows, the error its weights really make, and one below ``bound``."""
     y = F.col(target)
     one = [models.select(c).scalar().alias(c) for c in ("w", "mse", "n")]
     scored = points.join(models, keys) if keys else points.select("*", *one)
     return scored.groupBy(*keys, "mse", "n").agg(
         F.count(F.lit(1)).alias("rows"),
-        (F.first("mse") <= F.var_pop(y) * (1 + 1e-9)).alias("no_worse_than_mean"),
+        (F.first("mse") <= bound).alias("below_bound"),
         (F.abs(F.avg((y - net) * (y - net)) - F.first("mse")) <= 1e-6 * F.var_pop(y) + 1e-15).alias("error_is_real"),
         (F.first("n") == F.count(F.lit(1))).alias("all_rows"),
     ).drop("mse", "n")
@@ -1437,25 +1542,28 @@ def fit_facts(models, points, keys, target, net):
 
 @query(
     "fit_component_models",
-    """select component, count(*) as rows, true as no_worse_than_mean, true as error_is_real, true as all_rows
+    """select component, count(*) as rows, true as below_bound, true as error_is_real, true as all_rows
        from fx_component_train group by 1""",
 )
 def _(t):
-    # The fixture's loads are tiny against its capacity, so the limit is a share of their variance.
+    # Nowhere worse than the straight line by a twentieth; the mean is ten times worse for most components.
     train = component_train(t)
-    fitted = J.fit_component_models(train, share=0.9)
-    return fit_facts(fitted, train, ["component"], "norm_load", J.component_net("norm_traffic", "w"))
+    fitted = J.fit_component_models(train)
+    left = F.var_pop("norm_load") * (1 - F.coalesce(F.regr_r2("norm_load", "norm_traffic"), F.lit(0.0)))
+    return fit_facts(fitted, train, ["component"], "norm_load", J.component_net("norm_traffic", "w"), 1.05 * left + 1e-15)
 
 
 @query(
     "fit_worker_model",
-    """select count(*) as rows, true as no_worse_than_mean, true as error_is_real, true as all_rows
+    """select count(*) as rows, true as below_bound, true as error_is_real, true as all_rows
        from fx_worker_train""",
 )
 def _(t):
+    # Nothing explains the fixture's CPU by a line. Newton steps reach the limit at sf0.01 in 81 passes,
+    # resilient propagation does not in a thousand.
     train = worker_train(t)
-    fitted = J.fit_worker_model(train, share=0.9)
-    return fit_facts(fitted, train, [], "norm_cpu", J.worker_net("w"))
+    fitted = J.fit_worker_model(train, method="newton", max_epochs=100)
+    return fit_facts(fitted, train, [], "norm_cpu", J.worker_net("w"), 0.75 * F.var_pop("norm_cpu"))
 
 
 @query(
@@ -1605,6 +1713,14 @@ def _(t):
     return cpu_forecast(t).withColumn("cpu_percent", F.round("cpu_percent", 6))
 
 
+@query(
+    "fewest_nodes",
+    "select coalesce(min(case when ok then node_count end), max(node_count)) as nodes from fx_whatif",
+)
+def _(t):
+    return K.fewest_nodes(exec_load(t), t.node)
+
+
 @query("sizing_whatif", "select node_count, round(peak, 9) as peak, ok from fx_whatif")
 def _(t):
     return whatif(t).withColumn("peak", r9("peak"))
@@ -1639,7 +1755,7 @@ def _(t):
         "component", (F.col("parallelism") + F.col("component") % 2).alias("parallelism")
     )
     actual = t.tasks.groupBy("component").agg(F.count(F.lit(1)).alias("parallelism"))
-    return K.rebalance_plan(K.min_nodes(whatif(t)), 9, K.parallelism_changes(target, actual))
+    return K.rebalance_plan(K.fewest_nodes(exec_load(t), t.node), 9, K.parallelism_changes(target, actual))
 
 
 # === L: streams ====================================================================
@@ -1671,6 +1787,21 @@ def stored_stream(t: Telemetry, rows: DataFrame, label: str) -> DataFrame:
     return L.file_stream(t.spark, path, rows.schema)
 
 
+def ended(rows: DataFrame, key: str) -> DataFrame:
+    """Readings and the one that ends their stream."""
+    return rows.unionByName(KS.closing_reading(rows, key))
+
+
+def until(stored: Callable[[], bool], running, seconds: int = 120) -> None:
+    """Let a query that would go on run until what it has stored will do."""
+    try:
+        end = time.monotonic() + seconds
+        while not stored() and running.isActive and time.monotonic() < end:
+            time.sleep(0.2)
+    finally:
+        running.stop()
+
+
 def bucket_s() -> Column:
     return F.unix_seconds("bucket").alias("bucket_s")
 
@@ -1692,12 +1823,10 @@ def _(t):
        from fx_cycles group by 1, 2""",
 )
 def _(t):
-    with L.keyed_state(t.spark):
-        stream = L.load_stream(
-            stored_stream(t, readings(t), "readings"), speed_hz=10_000_000_000, cores=4
-        )
-        rows = finish(t, stream, "load", output_mode="append")
-    return L.sum_buckets(rows)
+    with KS.keyed_state(t.spark):
+        source = stored_stream(t, ended(readings(t), "task_id"), "readings")
+        rows = finish(t, KS.load_stream(source, speed_hz=10_000_000_000, cores=4), "load", output_mode="append")
+    return KS.sum_buckets(rows)
 
 
 @query(
@@ -1740,19 +1869,41 @@ def _(t):
 @query("cpu_stream", "select host, seq as ts_ms, cpu_percent, cpu_usage from fx_rolling")
 def _(t):
     samples = rolling_samples(t).withColumnRenamed("seq", "ts_ms")
-    with L.keyed_state(t.spark):
-        stream = L.cpu_stream(stored_stream(t, samples, "samples"))
+    with KS.keyed_state(t.spark):
+        stream = KS.cpu_stream(stored_stream(t, ended(samples, "host"), "samples"))
         rows = finish(t, stream, "cpu", output_mode="append")
     return rows.drop("epoch")
 
 
+@query(
+    "size_reports",
+    """select task_id, stream, cast(sum(b) as bigint) as tuplesizesum, count(*) as tuplesizecount
+       from (select task_id, stream,
+                    octet_length(encode(concat('{"stream":"', stream, '","latency_ms":', latency_ms, '}')))
+                      as b from fx_tuples) group by 1, 2""",
+)
+def _(t):
+    path, total = scratch_path(t.spark, "reports"), t.events.count()
+    columns = ["task_id", "stream"]
+
+    def published() -> DataFrame:
+        return L.final_values(L.read_updates(t.spark, path), columns)
+
+    with KS.keyed_state(t.spark):
+        stream = KS.size_reports(event_stream(t), ["stream", "latency_ms"], every="2 seconds")
+        running = L.run_updates(stream, path, trigger={"processingTime": "1 second"})
+        begun = lambda: bool(running.lastProgress and running.lastProgress.batchId >= 1)
+        until(lambda: begun() and published().agg(F.sum("tuplesizecount")).first()[0] == total, running)
+    return published().select(*columns, "tuplesizesum", "tuplesizecount")
+
+
 @query("snapshot_stream", "select 0 as snapshot_id, task_id, arg_max(load, ts) as load from fx_load group by 2")
 def _(t):
+    """The first beat of a clock that goes on without data."""
     rows = t.load.drop("snapshot_id").withColumn("ts", F.col("ts").cast("timestamp"))
     source = stored_stream(t, rows, "loads")
     state, path = scratch_path(t.spark, "state"), scratch_path(t.spark, "snapshots")
     L.latest_state_stream(source, state, ["task_id"]).awaitTermination()
-    L.snapshot_stream(
-        source, path, lambda: L.latest_state(t.spark, state), trigger={"availableNow": True}
-    ).awaitTermination()
-    return L.read_updates(t.spark, path).select("snapshot_id", "task_id", "load")
+    running = L.snapshot_stream(path, lambda: L.latest_state(t.spark, state), spark=t.spark, every="1 second")
+    until(lambda: bool(running.lastProgress and running.lastProgress.batchId >= 1), running)
+    return t.spark.read.parquet(f"{path}/data/epoch=0").select("snapshot_id", "task_id", "load")

@@ -55,5 +55,6 @@ KEYS = {
 }
 
 WORKER_HISTORY = _struct("host string, traffic_in bigint, traffic_out bigint, load bigint, cpu int")
+LOAD_HISTORY = _struct("component string, traffic bigint, load bigint")
 LATENCY_LOG = _struct("ts_ms bigint, latency_ns bigint")
 THROUGHPUT_LOG = _struct("ts_ms bigint, cnt bigint")

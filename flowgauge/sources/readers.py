@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -244,25 +245,31 @@ def read_cpu_counters(lines: DataFrame) -> DataFrame:
 # --- histories and models --------------------------------------------------------
 
 
-def read_history(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Re-read profiled values: ``worker``, ``load``, ``alfa`` or ``tuple``."""
-    if kind == "worker":
-        return spark.read.schema(schemas.WORKER_HISTORY).options(mode="FAILFAST").csv(path)
-    if kind == "load":
-        return (
-            spark.read.schema("component string, traffic bigint, load bigint")
-            .options(mode="FAILFAST")
-            .csv(path)
-        )
+def read_history(spark: SparkSession, path: str, kind: str, *, runs: Sequence[str] | None = None) -> DataFrame:
+    """Re-read profiled values: ``worker``, ``load``, ``alfa`` or ``tuple``.
+
+    With ``runs`` only the folders of these runs are listed for reading, and ``run_id`` is added.
+    """
+
+    def of_runs(rows: DataFrame) -> DataFrame:
+        return rows if runs is None else rows.filter(F.col("run_id").isin(*runs))
+
+    run = [] if runs is None else [T.StructField("run_id", T.StringType())]
+    if kind in ("worker", "load"):
+        columns = schemas.WORKER_HISTORY if kind == "worker" else schemas.LOAD_HISTORY
+        schema = T.StructType([*columns.fields, *run])
+        return of_runs(spark.read.schema(schema).options(mode="FAILFAST").csv(path))
     if kind not in ("alfa", "tuple"):
         raise ValueError("kind is worker, load, alfa or tuple")
     edge = r"^\((.*) : (.*)\),(.*)$"
-    return spark.read.text(path).select(
+    lines = spark.read.schema(T.StructType([T.StructField("value", T.StringType()), *run])).text(path)
+    return of_runs(lines).select(
         F.regexp_extract("value", edge, 1).alias("src"),
         F.regexp_extract("value", edge, 2).alias("dst"),
         F.regexp_extract("value", edge, 3).cast("double").alias(
             "alfa" if kind == "alfa" else "tuple_size"
         ),
+        *[f.name for f in run],
     )
 
 

@@ -7,28 +7,27 @@ progress.
 
 ``run_updates`` stores each micro-batch under its epoch, so a batch that is retried
 after a lost executor overwrites its own folder and nothing is counted twice.
+
+Operators that keep rows or timers for each key are in :mod:`flowgauge.streaming.keyed`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Callable, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from flowgauge.functions.scalars import int_div, tuple_bytes
 from flowgauge.operators.filters import user_tasks
-from flowgauge.sources.writers import newest_per_key, upsert_state
+from flowgauge.sources import state
+from flowgauge.sources.writers import newest_per_key
 
 BUCKET = "10 seconds"
 WATERMARK = "10 minutes"
-# Tuple sizes are published at most once a minute.
-SIZE_TRIGGER = {"processingTime": "60 seconds"}
 
 
 def file_stream(
@@ -80,9 +79,9 @@ def latency_stream(
 
 
 def tuple_size_stream(tuples: DataFrame, value_columns: Sequence[str]) -> DataFrame:
-    """Cumulative bytes and count per task and input stream.
+    """Cumulative bytes and count per task and input stream, for update mode.
 
-    Run it in update mode with :data:`SIZE_TRIGGER`.
+    :func:`flowgauge.streaming.keyed.size_reports` publishes them at a pace of its own.
     """
     return (
         tuples.withColumn("__bytes", tuple_bytes(value_columns))
@@ -95,152 +94,6 @@ def tuple_size_stream(tuples: DataFrame, value_columns: Sequence[str]) -> DataFr
     )
 
 
-# --- stateful readings -----------------------------------------------------------
-
-
-def _first_per_ms(chunks: Iterator[pd.DataFrame], value: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct milliseconds of a batch in order, each with its smallest counter.
-
-    Chunks are thinned as they arrive, so what is held follows the time a batch
-    spans and not its number of rows.
-    """
-    ts = np.empty(0, dtype=np.int64)
-    counter = np.empty(0, dtype=np.int64)
-    for pdf in chunks:
-        ts = np.concatenate([ts, pdf["ts_ms"].to_numpy(dtype=np.int64)])
-        counter = np.concatenate([counter, pdf[value].to_numpy(dtype=np.int64)])
-        order = np.lexsort((counter, ts))
-        ts, first = np.unique(ts[order], return_index=True)
-        counter = counter[order][first]
-    return ts, counter
-
-
-class _Cycles(StatefulProcessor):
-    """Keeps the last accepted reading of a task."""
-
-    def __init__(self, gap_ms: int, cycles_per_ns: float):
-        self.gap_ms = gap_ms
-        self.cycles_per_ns = cycles_per_ns
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "ts_ms bigint, cpu_ns bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        ts, counter = _first_per_ms(rows, "cpu_ns")
-        before_ts, before_ns = self.last.get() if self.last.exists() else (None, 0)
-        at = 0 if before_ts is None else int(np.searchsorted(ts, before_ts + self.gap_ms))
-        taken = []
-        while at < len(ts):
-            taken.append(at)
-            at = int(np.searchsorted(ts, ts[at] + self.gap_ms))
-        if taken:
-            used = np.diff(np.concatenate([[before_ns], counter[taken]]))
-            self.last.update((int(ts[taken[-1]]), int(counter[taken[-1]])))
-            yield pd.DataFrame(
-                {
-                    "task_id": key[0],
-                    "ts_ms": ts[taken],
-                    "cycles": np.trunc(used * self.cycles_per_ns).astype(np.int64),
-                }
-            )
-
-    def close(self) -> None:
-        pass
-
-
-def load_stream(
-    readings: DataFrame, *, speed_hz: int, cores: int, gap_ms: int = 1000, bucket_ms: int = 10_000
-) -> DataFrame:
-    """Cycles of each accepted reading with the bucket it belongs to.
-
-    ``readings`` has ``task_id``, ``ts_ms`` and the cumulative ``cpu_ns``. Sums per
-    bucket add up over micro-batches, see :func:`sum_buckets`.
-    """
-    task_type = readings.schema["task_id"].dataType.simpleString()
-    return (
-        readings.select("task_id", "ts_ms", "cpu_ns")
-        .groupBy("task_id")
-        .transformWithStateInPandas(
-            _Cycles(gap_ms, speed_hz / cores / 1_000_000_000),
-            f"task_id {task_type}, ts_ms bigint, cycles bigint",
-            "Append",
-            "None",
-        )
-        .withColumn("bucket_ms", F.expr(f"ts_ms div {int(bucket_ms)} * {int(bucket_ms)}"))
-    )
-
-
-def sum_buckets(cycles: DataFrame) -> DataFrame:
-    return cycles.groupBy("task_id", "bucket_ms").agg(F.sum("cycles").alias("load"))
-
-
-class _RollingCpu(StatefulProcessor):
-    """Keeps the last counter and the last few percentages of a host."""
-
-    def __init__(self, budget_ns: int, buckets: int):
-        self.budget_ns = budget_ns
-        self.buckets = buckets
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counter = handle.getValueState("counter", "cpu_ns bigint")
-        self.recent = handle.getListState("recent", "percent bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values("ts_ms")
-        before = self.counter.get()[0] if self.counter.exists() else 0
-        recent = [row[0] for row in self.recent.get()] if self.recent.exists() else []
-        out = []
-        for ts, cpu_ns, cores in zip(pdf["ts_ms"], pdf["cpu_ns"], pdf["cores"]):
-            if before > 0:
-                percent = int((int(cpu_ns) - before) * 100 // (self.budget_ns * int(cores)))
-                recent = [*recent, percent][-self.buckets :]
-                out.append((key[0], int(ts), percent, sum(recent) // len(recent)))
-            before = int(cpu_ns)
-        self.counter.update((before,))
-        if recent:
-            self.recent.put([(p,) for p in recent])
-        if out:
-            yield pd.DataFrame(out, columns=["host", "ts_ms", "cpu_percent", "cpu_usage"])
-
-    def close(self) -> None:
-        pass
-
-
-def cpu_stream(samples: DataFrame, *, bucket_seconds: int = 10, buckets: int = 6) -> DataFrame:
-    """CPU percent per bucket and the whole-number mean of the last buckets, live.
-
-    ``samples`` has one reading per host and bucket, so a host brings few rows per
-    micro-batch.
-    """
-    return (
-        samples.select("host", "ts_ms", "cpu_ns", "cores")
-        .groupBy("host")
-        .transformWithStateInPandas(
-            _RollingCpu(bucket_seconds * 1_000_000_000, buckets),
-            "host string, ts_ms bigint, cpu_percent bigint, cpu_usage bigint",
-            "Append",
-            "None",
-        )
-    )
-
-
-@contextmanager
-def keyed_state(spark: SparkSession):
-    """Session setting the stateful processors need, put back afterwards."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(
-        name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    )
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
-
-
 # --- sinks -----------------------------------------------------------------------
 
 
@@ -277,26 +130,27 @@ def final_values(updates: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def latest_state_stream(
-    rows: DataFrame, path: str, keys: Sequence[str], *, ts: str = "ts", trigger: dict | None = None
+    rows: DataFrame,
+    path: str,
+    keys: Sequence[str],
+    *,
+    ts: str = "ts",
+    trigger: dict | None = None,
+    buckets: int = state.BUCKETS,
 ) -> StreamingQuery:
     """Keep the newest row per key as a table; a later batch wins equal times.
 
-    Each micro-batch merges its rows into the version before and stores the result as
-    its own version. Two versions are kept, so the folder does not grow with the number
-    of batches, a batch that is tried again finds what it started from, and a reader of
-    the older version is not cut off.
+    Each micro-batch becomes a version of the table, see :mod:`flowgauge.sources.state`: it
+    rewrites only the buckets its rows fall into, and a batch that is tried again gives the
+    same version.
     """
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        newest = newest_per_key(batch, keys, [ts])
-        older = [v for v in state_versions(spark, path) if v < epoch]
-        if older:
-            newest = upsert_state(spark.read.parquet(f"{path}/data/epoch={older[-1]}"), newest, keys, ts=ts)
-        newest.write.mode("overwrite").parquet(f"{path}/data/epoch={epoch}")
-        for version in older[:-1]:
-            files, at = _files(spark, f"{path}/data/epoch={version}")
-            files.delete(at, True)
+        batch = batch.persist()  # read for the buckets and for the rows
+        try:
+            state.apply_rows(batch, path, keys, epoch, ts=ts, buckets=buckets)
+        finally:
+            batch.unpersist()
 
     return (
         rows.writeStream.outputMode("append")
@@ -307,43 +161,41 @@ def latest_state_stream(
     )
 
 
-def _files(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
-def state_versions(spark: SparkSession, path: str) -> list[int]:
-    """Epochs whose version of a latest state is stored whole, in order."""
-    files, at = _files(spark, f"{path}/data")
-    if not files.exists(at):
-        return []
-    found = [str(s.getPath()) for s in files.listStatus(at)]
-    done = [p for p in found if "epoch=" in p and files.exists(_files(spark, f"{p}/_SUCCESS")[1])]
-    return sorted(int(p.rpartition("epoch=")[2]) for p in done)
-
-
 def latest_state(spark: SparkSession, path: str) -> DataFrame:
     """The newest row per key, as of the last version stored whole."""
-    return spark.read.parquet(f"{path}/data/epoch={state_versions(spark, path)[-1]}")
+    return state.read_state(spark, path)
+
+
+def clock(spark: SparkSession) -> DataFrame:
+    """One row a second, numbered from the first start of the query that reads it, pauses included."""
+    return spark.readStream.format("rate").option("rowsPerSecond", 1).load().select(F.col("value").alias("second"))
 
 
 def snapshot_stream(
-    stream: DataFrame,
     path: str,
     snapshot: Callable[[], DataFrame],
     *,
+    spark: SparkSession,
     every: str = "10 seconds",
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Store a numbered snapshot of the latest tables at every trigger.
+    """Store a numbered snapshot of the latest tables at every beat of a clock.
 
-    ``stream`` only paces the query. ``snapshot`` reads the current latest state; the
-    batch number is the snapshot number, from 0.
+    The query is paced by a source of its own, so snapshots go on while no data comes.
+    ``snapshot`` reads the current latest state. ``snapshot_id`` counts the snapshots from 0 and
+    goes on after a restart. ``beat`` is the whole number of periods since the first start, and
+    ``missed`` how many periods before it, since the snapshot before, have none of their own.
     """
+    seconds = max(1, int(pd.Timedelta(every).total_seconds()))
+
+    def numbered(beats: DataFrame, epoch: int) -> DataFrame:
+        first, last = beats.agg(F.min("second"), F.max("second")).first()
+        beat, before = (last or 0) // seconds, ((first or 0) - 1) // seconds
+        missed = max(0, beat - before - 1)
+        return snapshot().select(
+            "*", F.lit(epoch).alias("snapshot_id"), F.lit(beat).cast("bigint").alias("beat"), F.lit(missed).cast("bigint").alias("missed")
+        )
+
     return run_updates(
-        stream,
-        path,
-        output_mode="append",
-        trigger=trigger or {"processingTime": every},
-        transform=lambda _, epoch: snapshot().withColumn("snapshot_id", F.lit(epoch)),
+        clock(spark), path, output_mode="append", trigger=trigger or {"processingTime": every}, transform=numbered
     )

@@ -43,23 +43,53 @@ def test_component_models(spark, train):
 def test_no_fit_is_worse_than_the_mean(spark, train):
     """Targets that no input explains leave the network at the mean or below it."""
     df = train.withColumn("norm_load", (F.abs(F.hash("norm_load")) % 1000) / 1e9)
-    models = J.fit_component_models(df, share=0.0, max_epochs=6).collect()
     variance = {r[0]: r[1] for r in df.groupBy("component").agg(F.var_pop("norm_load")).collect()}
-    assert all(r["mse"] <= variance[r["component"]] * (1 + 1e-9) and r["n"] == 400 for r in models)
+    for method in ("rprop", "newton"):
+        models = J.fit_component_models(df, tolerance=0.0, max_epochs=6, method=method).collect()
+        assert all(r["mse"] <= variance[r["component"]] * (1 + 1e-9) and r["n"] == 400 for r in models)
     assert J.fit_component_models(df.limit(0)).count() == 0
 
 
 def test_fit_goes_on_until_the_limit(spark, train):
     """No step count or gain ends a fit that still improves."""
-    models = J.fit_component_models(train, tolerance=1e-6).collect()
+    models = J.fit_component_models(train, tolerance=1e-6, method="newton").collect()
     assert all(r["mse"] <= 1e-6 for r in models), models
 
 
+def test_resilient_propagation_follows_a_curve():
+    """Steps of their own take all weights far below the best line, from sums alone, and never back."""
+    x = np.linspace(0, 1, 50)[:, None]
+    y = 0.5 * x[:, 0] ** 2 + 0.1
+    own = (np.full(50, 3.0), 3 * y, 3 * y * y)
+    line = np.polyfit(x[:, 0], y, 1)
+    straight = ((np.polyval(line, x[:, 0]) - y) ** 2).mean()
+    w = nets.line_start(nets.initial_weights(1, 3, 7), y.mean(), line[:1], x.mean(0), 3)
+    fit = nets.Propagation(w, np.ones(1), straight / 20, 150.0)
+    fit.accept(w, fit.sums(w, x, *own, 3))
+    assert fit.mse <= 1.2 * straight
+    errors = [fit.mse]
+    while not fit.done and fit.epochs < 2000:
+        (trial,) = fit.trials()
+        fit.choose([trial], [fit.sums(trial, x, *own, 3)])
+        errors.append(fit.mse)
+    assert fit.mse <= straight / 20 and errors == sorted(errors, reverse=True)
+
+
+def test_resilient_propagation_over_spark(spark, train):
+    """Gradients summed by Spark are those of all rows; the limit ends the fit."""
+    models = J.fit_component_models(train, tolerance=4e-6, max_epochs=25).collect()
+    lines = {r["component"]: r for r in J.fit_linear_load(train).collect()}
+    variance = {r[0]: r[1] for r in train.groupBy("component").agg(F.var_pop("norm_load")).collect()}
+    for r in models:
+        straight = variance[r["component"]] * (1 - lines[r["component"]]["r2"])
+        assert r["mse"] <= max(4e-6, 1.05 * straight) and r["epochs"] <= 25
+
+
 def test_worker_model(spark):
     cols = [(F.abs(F.hash("id", F.lit(i))) % 1000) / 15000.0 for i in range(3)]
     df = spark.range(400).select(*[c.alias(n) for c, n in zip(cols, J.WORKER_INPUTS)])
     df = df.withColumn("norm_cpu", F.tanh(8 * F.col("norm_in") + 6 * F.col("norm_load")))
-    model = J.fit_worker_model(df)
+    model = J.fit_worker_model(df, method="newton")
     got = model.first()
     assert got["mse"] <= 0.015 and len(got["w"]) == 21
     error = df.withColumn("w", model.select("w").scalar()).agg(

@@ -50,3 +50,30 @@ def test_a_repeated_key_keeps_its_last_line(spark):
     components, _, edges = SRC.parse_topology_config(lines)
     assert {(r["component"], r["parallelism"]) for r in components.collect()} == {("s", 1), ("b", 2), ("c", 3), ("d", 4)}
     assert [(r["src"], r["dst"]) for r in edges.collect()] == [("s", "b")]
+
+
+@pytest.mark.parametrize("gap, slab_ms, bits", [(1000, 700, 1), (50, 400, 2), (1000, 5000, 1), (3000, 500, 6)])
+def test_steps_compose_over_a_tree(spark, monkeypatch, gap, slab_ms, bits):
+    """Small blocks make several levels; the accepted readings stay those of a walk through time."""
+    from flowgauge.operators import cpu as C
+
+    monkeypatch.setattr(C, "_FAN_BITS", bits)
+    rng = random.Random(gap + slab_ms)
+    rows, expected = [], []
+    for task in range(3):
+        ts, last = rng.randrange(10**6), None
+        for i in range(250):
+            ts += rng.choice([0, 1, 40, 333, 999, 1000, 1001, 9000])
+            rows.append((task, ts, 1000 * i + task))
+    first = {}
+    for task, ts, ns in rows:
+        first[task, ts] = min(ns, first.get((task, ts), ns))
+    for task in range(3):
+        last, before = None, 0
+        for (own, ts), ns in sorted(first.items()):
+            if own == task and (last is None or ts >= last + gap):
+                expected.append((task, ts, ns, ns - before))
+                last, before = ts, ns
+    df = spark.createDataFrame(rows, "task_id int, ts_ms bigint, cpu_ns bigint")
+    got = C.accepted_readings(df, gap_ms=gap, slab_ms=slab_ms).collect()
+    assert sorted(map(tuple, got)) == expected

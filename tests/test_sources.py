@@ -207,3 +207,42 @@ def test_plot_rows(spark):
     assert [r["value"] for r in E.format_plot_rows(df).collect()] == [
         E.PLOT_HEADER, "0;3,0;6,5;2,0;2,0;7,0;7,25", "1;4,0;8,0",
     ]
+
+
+def test_bad_lines_are_set_aside(spark):
+    """Good and bad lines together are the input; bad ones carry file, line and reason."""
+    from flowgauge import schemas
+    from flowgauge.sources import quarantine as Q
+
+    folder = scratch_path(spark, "logs")
+    texts = {"a": ["1,2", "x,2", "", "3,,4", "5,"], "b": ["7", "9, 8 "], "merge_old": ["broken"]}
+    for name, lines in texts.items():
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{folder}/{name}")
+    import glob
+    import os
+    import shutil
+
+    flat = scratch_path(spark, "flat").removeprefix("file:")
+    os.makedirs(flat)
+    for name in texts:
+        shutil.copy(glob.glob(f"{folder.removeprefix('file:')}/{name}/part-*")[0], f"{flat}/{name}.log")
+    good, bad = Q.read_checked_log(spark, flat, schemas.THROUGHPUT_LOG, scratch_path(spark, "checked"))
+    assert sorted((r["file"], r["ts_ms"], r["cnt"]) for r in good.collect()) == [("a.log", 1, 2), ("a.log", 5, None), ("b.log", 9, 8)]
+    assert sorted((r["file"], r["line_no"], r["line"], r["reason"]) for r in bad.collect()) == [
+        ("a.log", 1, "x,2", "ts_ms is no bigint"),
+        ("a.log", 2, "", "empty line"),
+        ("a.log", 3, "3,,4", "2 fields expected, 3 found"),
+        ("b.log", 0, "7", "2 fields expected, 1 found"),
+    ]
+
+
+def test_history_reads_only_the_runs_asked_for(spark):
+    path = scratch_path(spark, "history")
+    for run in ("1", "2"):
+        rows = spark.createDataFrame([("c", int(run), 5)], "component string, traffic bigint, load bigint")
+        SNK.write_history(rows, path, "load", run_id=run)
+    found = SRC.read_history(spark, path, "load", runs=["2"])
+    assert [tuple(r) for r in found.collect()] == [("c", 2, 5, "2")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(run_id" in plan or "PartitionFilters: [(run_id" in plan
+    assert SRC.read_history(spark, path, "load").count() == 2
