@@ -20,7 +20,6 @@ import sys
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -110,6 +109,18 @@ def unpack(words: bytes, n: int) -> np.ndarray:
     return out[:n]
 
 
+class _Known(dict):
+    """Ids of pieces as bytes; a piece asked for the first time is learnt."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.learn(piece)
+        return ids
+
+
 class PieceEncoder:
     """Ids of whole texts by the tokenizers library, remembering pieces seen before.
 
@@ -128,8 +139,8 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.remembered = remembered
-        #: Ids of pieces as bytes, those met of late and those met before them.
-        self.known: dict[str, bytes] = {}
+        #: Pieces met of late and those met before them.
+        self.known = _Known(self._learn)
         self.older: dict[str, bytes] = {}
         # Byte-level vocabularies write a printable byte as itself and the others as
         # characters from 256 on, in order.
@@ -140,7 +151,10 @@ class PieceEncoder:
     @staticmethod
     def of_process(path: str) -> PieceEncoder:
         """The encoder that earlier tasks of this worker process have filled, or a new one."""
-        return sys.__dict__.setdefault("_flowgauge_encoders", {}).setdefault(path, PieceEncoder(path))
+        held = sys.__dict__.setdefault("_flowgauge_encoders", {})
+        if path not in held:
+            held[path] = PieceEncoder(path)
+        return held[path]
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -157,57 +171,41 @@ class PieceEncoder:
         out[0] = "\0" + out[0]
         return out
 
-    def _word(self, text: str) -> bytes:
-        """Ids of one pre-token: the library's model, without the steps around it."""
+    def _word(self, text: str, before: str = "") -> bytes:
+        """Ids of one pre-token of Latin letters: the library's model, without the steps around it."""
         if not text.isascii():
-            text = text.encode().decode("latin-1")
-        return array("I", [t.id for t in self.model.tokenize(text.translate(self.written))]).tobytes()
-
-    def _learn(self, fresh: list[str]) -> None:
-        known, others, ended = self.known, [], []
-        for p in fresh:
-            if p in self.older:
-                known[p] = self.older[p]
-                continue
-            ends = p[-1] in ".,;:!?"
-            word = p[p[0] in "\0\n" : len(p) - ends]
-            # Latin letters, so that the library surely takes them as letters too
-            if not (word.isalpha() and (word.isascii() or max(word) < "\u0250")):
-                others.append(p)
-            elif p[0] == "\n":
-                known[p] = self._of("\n") + self._word(word) + (self._of(p[-1]) if ends else b"")
-            elif p[0] == "\0":
-                known[p] = self._word(word) + (self._of(p[-1]) if ends else b"")
-            elif ends:
-                ended.append(p)
-            else:
-                known[p] = self._word(" " + word)
-        for p in ended:
-            if p[:-1] not in known:
-                known[p[:-1]] = self.older.get(p[:-1]) or self._word(" " + p[:-1])
-            known[p] = known[p[:-1]] + self._of(p[-1])
-        for at in range(0, len(others), 4096):
-            some = others[at : at + 4096]
-            raw = [p[1:] if p[0] == "\0" else p if p[0] == "\n" else " " + p for p in some]
-            got = self.tokenizer.encode(raw, is_pretokenized=True, add_special_tokens=False)
-            ids, owner = np.array(got.ids, dtype=np.uint32), np.array(got.word_ids, dtype=np.int64)
-            cut = np.searchsorted(owner, np.arange(len(some) + 1))
-            for k, p in enumerate(some):
-                known[p] = ids[cut[k] : cut[k + 1]].tobytes()
+            text = text.encode().decode("latin-1").translate(self.written)
+        return array("I", [t.id for t in self.model.tokenize(before + text)]).tobytes()
+
+    def _learn(self, p: str) -> bytes:
+        if p in self.older:
+            return self.older[p]
+        mark = p[-1] if p[-1] in ".,;:!?" else ""
+        word = p[p[0] in "\0\n" : len(p) - len(mark)]
+        # Latin letters, so that the library surely takes them as letters too
+        if not (word.isalpha() and (word.isascii() or max(word) < "\u0250")):
+            raw = p[1:] if p[0] == "\0" else p if p[0] == "\n" else " " + p
+            found = self.tokenizer.encode([raw], is_pretokenized=True, add_special_tokens=False).ids
+            return array("I", found).tobytes()
+        after = self._of(mark) if mark else b""
+        if p[0] == "\0":
+            return self._word(word) + after
+        if p[0] == "\n":
+            return self._of("\n") + self._word(word) + after
+        return (self.known[word] if mark else self._word(word, self.written[32])) + after
 
     def _of(self, mark: str) -> bytes:
+        """Ids of a mark or line end that stands alone."""
         key = "\0" + mark
-        if key not in self.known:
-            self.known[key] = np.array(self.tokenizer.encode(mark, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
+        if not dict.__contains__(self.known, key):
+            self.known[key] = array("I", self.tokenizer.encode(mark, add_special_tokens=False).ids).tobytes()
         return self.known[key]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > self.remembered // 2:
-            self.known, self.older = {}, self.known
-        cut = [self.pieces(t) for t in texts]
-        self._learn(list(set(filterfalse(self.known.__contains__, chain.from_iterable(cut)))))
+            self.known, self.older = _Known(self._learn), self.known
         ids = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(ids, pieces)), dtype=np.uint32) for pieces in cut]
+        return [np.frombuffer(b"".join(map(ids, self.pieces(t))), dtype=np.uint32) for t in texts]
 
 
 def _encoder(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
