@@ -11,6 +11,11 @@ similar enough share at least one of the first few of their shingles in any fixe
 so each of these shingles is a cell, and no pair is lost. The order puts shingles that
 many documents hold last, by counts in a table of fixed size, which keeps cells small.
 
+Each set knows the place of the cell's shingle in its order. A pair whose first common
+shingle this is has no other before it, so what follows in the shorter rest must suffice;
+a pair is compared only in cells where it does. Texts of one template whose own parts are
+too large to link share only what comes after these parts, and are never compared.
+
 Only components are asked for, so a cell is read in two steps. First every document of a
 cell is compared with one of them; then only pairs of documents that are not yet in one
 component go through the cell's tree. A group of thousands of near copies costs one
@@ -45,6 +50,11 @@ def needed(total: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * total // (100 + percent))
 
 
+def _needed(total: str, percent: int) -> str:
+    """The same as an SQL expression."""
+    return f"(({percent} * ({total}) + {99 + percent}) div {100 + percent})"
+
+
 def _slot_counts(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, reader = np.zeros(SLOTS, dtype=np.int64), WordReader()
@@ -102,6 +112,7 @@ def _described(n: int, percent: int, levels: np.ndarray) -> Callable[[Iterator[p
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc": batch.column(0).slice(start, len(texts)),
+                        "text_hash": batch.column(2).slice(start, len(texts)),
                         "size": pa.array(sizes, pa.int64()),
                         "node": pa.array(nodes, pa.int64()),
                         "keys": pa.array(keys, pa.list_(pa.int64())),
@@ -200,7 +211,7 @@ class CountTree:
 
 
 def _tree_join(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs of rows ``key, band, home, doc, component, size, point``, sorted by key and band.
+    """Pairs of rows ``key, band, home, doc, component, size, reach, point``, sorted by key and band.
 
     Cells that fit into one leaf, most of them, are read many at a time; a larger one gets
     its tree.
@@ -210,11 +221,13 @@ def _tree_join(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         key, band = table.column("key").to_numpy(), table.column("band").to_numpy()
         doc, component = table.column("doc").to_numpy(), table.column("component").to_numpy()
         home, size = table.column("home").to_numpy(), table.column("size").to_numpy()
+        reach = table.column("reach").to_numpy()
         points = np.concatenate([_points(c) for c in table.column("point").chunks])
 
         def kept(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             # A pair belongs to the upper of its bands; it is met there once.
             near = 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
+            near &= np.minimum(reach[a], reach[b]) >= needed(size[a] + size[b], percent)
             return near & (component[a] != component[b]) & (home[a] | home[b])
 
         def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -297,7 +310,7 @@ def _verifier(n: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
 
 
 def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 4, percent: int = 85
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 4, percent: int = 85, per_text: bool = False
 ) -> DataFrame:
     """``id_col, n_shingles, component_id`` of every row.
 
@@ -305,7 +318,11 @@ def jaccard_components(
     shingle. Two documents link when ``100 * intersection >= percent * union``;
     ``component_id`` is the smallest id reachable by links, its own included. Empty and
     NULL texts have no shingles and link with nothing. Rows with a NULL id link with
-    nothing and have no component. Equal texts and repeated rows are one set.
+    nothing and have no component. Equal texts and repeated rows are one set. Long texts are
+    read whole; a set is held in one task, with its shingles as numbers.
+
+    With ``per_text`` also ``text_hash`` and ``group``, the same for the rows whose sets are
+    linked and NULL without shingles, for ids that several texts share.
     """
     spark = docs.sparkSession
 
@@ -316,13 +333,15 @@ def jaccard_components(
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     levels = frequency_levels(rows.select("text"), words)
-    described = stored(
-        rows.mapInArrow(_described(words, percent, levels), "doc long, size long, node long, keys array<long>"), "sets"
-    )
+    schema = "doc long, text_hash long, size long, node long, keys array<long>"
+    hashed = rows.select("doc", "text", F.xxhash64("text").alias("text_hash"))
+    described = stored(hashed.mapInArrow(_described(words, percent, levels), schema), "sets")
     known = described.where("doc IS NOT NULL AND node IS NOT NULL")
     # One document stands for all with the same set.
     classes = cut_lineage(known.groupBy("node").agg(F.min("doc").alias("doc")))
-    keyed = known.select("node", "size", F.explode("keys").alias("key"))
+    # What a set has left from a shingle on, with it.
+    keyed = known.select("node", "size", F.posexplode("keys").alias("pos", "key"))
+    keyed = keyed.select("node", "key", F.col("size").cast("int").alias("size"), F.expr("cast(size - pos as int)").alias("reach"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("n0"), F.max("node").alias("n1")).where("n0 < n1")
     # Sides of joins by key are written first, so that adaptive execution can split hot keys.
     shared = cut_lineage(shared.select("key"))
@@ -332,16 +351,18 @@ def jaccard_components(
     own = F.floor(F.log(F.col("size").cast("double")) / F.lit(float(np.log(100 / percent)) * 1.001)).cast("int")
     banded = cut_lineage(
         keyed.join(shared, "key")
-        .select("key", "node", own.alias("own"))
+        .select("key", "node", "size", "reach", own.alias("own"))
         .distinct()
         .withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
-        .select("key", "band", (F.col("band") == F.col("own")).alias("home"), "node")
+        .select("key", "band", (F.col("band") == F.col("own")).alias("home"), "node", "size", "reach")
     )
     met = banded.groupBy("key", "band").agg(
-        F.min("node").alias("n0"), F.max("node").alias("n1"), F.max("home").alias("met")
+        F.min("node").alias("n0"), F.max("node").alias("n1"), F.max("home").alias("met"), F.min("size").alias("least")
     )
-    met = cut_lineage(met.where("n0 < n1 AND met").select("key", "band"))
-    cells = stored(banded.join(met, ["key", "band"]), "cells")
+    met = cut_lineage(met.where("n0 < n1 AND met").select("key", "band", "least"))
+    # A set stays where it could link with one as small as the least of the cell.
+    cells = banded.join(met, ["key", "band"]).where(f"reach >= {_needed('size + least', percent)}").drop("least")
+    cells = stored(cells, "cells")
 
     # Only texts that share a cell with another set are moved.
     wanted = classes.join(cells.select("node").distinct(), "node")
@@ -363,12 +384,15 @@ def jaccard_components(
     hubs = (
         cells.join(weights, "node")
         .groupBy("key", "band")
-        .agg(F.max(F.struct("n", "node", "home")).alias("hub"))
-        .select("key", "band", F.col("hub.node").alias("hub"), F.col("hub.home").alias("hub_home"))
+        .agg(F.max(F.struct("n", "node", "home", "size", "reach")).alias("hub"), F.count("*").alias("members"))
+        .where("members > 1")
+        .select("key", "band", "hub")
     )
     stars = (
         cells.join(cut_lineage(hubs), ["key", "band"])
-        .where("hub != node AND (home OR hub_home)")
+        .where("hub.node != node AND (home OR hub.home)")
+        .where(f"least(reach, hub.reach) >= {_needed('size + hub.size', percent)}")
+        .withColumn("hub", F.col("hub.node"))
         .select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
         .distinct()
     )
@@ -383,13 +407,13 @@ def jaccard_components(
 
     # Documents of a cell that are still apart, through the cell's tree.
     placed = cells.join(parts, "node", "left").select(
-        "key", "band", "home", "node", F.coalesce("component", "node").alias("component")
+        "key", "band", "home", "node", "reach", F.coalesce("component", "node").alias("component")
     )
     apart = placed.groupBy("key", "band").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
     left = (
         placed.join(cut_lineage(apart.where("c0 < c1").select("key", "band")), ["key", "band"])
         .join(nodes.select("node", "size", "point"), "node")
-        .select("key", "band", "home", F.col("node").alias("doc"), "component", "size", "point")
+        .select("key", "band", "home", F.col("node").alias("doc"), "component", "size", "reach", "point")
     )
     pairs = left.repartition("key", "band").sortWithinPartitions("key", "band").mapInArrow(_tree_join(percent), "a long, b long")
     more = verified(cut_lineage(pairs.distinct()))
@@ -397,9 +421,11 @@ def jaccard_components(
 
     joined = classes.join(final, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
     smallest = joined.groupBy("component").agg(F.min("doc").alias("smallest"))
-    reached = joined.join(smallest, "component").select("node", "smallest")
+    reached = joined.join(smallest, "component").select("node", "smallest", F.col("component").alias("group"))
+    more = ["text_hash", "group"] if per_text else []
     return described.join(reached, "node", "left").select(
         F.col("doc").alias(id_col),
         F.col("size").alias("n_shingles"),
         F.when(F.col("doc").isNotNull(), F.coalesce("smallest", "doc")).alias("component_id"),
+        *more,
     )
