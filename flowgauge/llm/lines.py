@@ -77,7 +77,11 @@ def dedup_lines(
     )
     parts = F.split(text, "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__dropped"))
-    rebuilt = F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")
+    # Bound to a variable, so that a text is split once and not for each of its lines.
+    whole = F.array(F.struct(parts.alias("parts"), kept.alias("kept")))
+    rebuilt = F.get(
+        F.transform(whole, lambda w: F.array_join(F.transform(w["kept"], lambda i: F.get(w["parts"], i)), "\n")), F.lit(0)
+    )
     return joined.select(
         *[F.col(c) for c in docs.columns],
         F.size(parts).cast("long").alias("n_lines"),
