@@ -100,3 +100,16 @@ def test_queries_match_sql(spark, sf_dir, name):
     want = con.execute(f"select {', '.join(columns)} from ({queries.SQL[name]})").fetchall()
     assert sorted(tuple(r) for r in found.select(columns).collect()) == sorted(want)
     assert not [x for x in ("Python", "Pandas", "Arrow") if x in found._jdf.queryExecution().toString()]
+
+
+def test_a_text_of_many_lines_is_split_once(spark):
+    """Time follows the number of lines, not its square."""
+    import time
+
+    n = 30_000
+    rows = [(1, "this line is common\n" + "x"), (2, "\n".join([*(f"line number {i} of many" for i in range(n)), "this line is common"]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    begun = time.monotonic()
+    found = {r["doc_id"]: r for r in lines.dedup_lines(docs).collect()}
+    assert time.monotonic() - begun < 30
+    assert (found[2]["n_lines"], found[2]["n_dropped"]) == (n + 1, 1) and found[2]["kept_text"].endswith(f"line number {n - 1} of many")

@@ -161,3 +161,16 @@ def test_stages_keep_columns_and_take_empty_tables(spark, sf_dir):
             assert out.columns == docs.columns
             out.collect()
         assert corpus_pipeline.STAGES[-1][1](spark, rows, sf_dir).count() == rows.count()
+
+
+def test_near_copies_judges_texts_not_ids(spark, sf_dir):
+    """A clean text that shares its id with a near copy stays on every run; the copy goes."""
+    long = " ".join(f"w{i}" for i in range(300))
+    clean = " ".join(f"c{i}" for i in range(300))
+    rows = [(1, long), (5, clean), (5, long + " more"), (5, clean), (7, ""), (7, ""), (8, None), (None, long), (None, long)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for parts in (1, 7):
+        got = corpus_pipeline.drop_near_copies(spark, docs.repartition(parts), sf_dir)
+        assert got.columns == docs.columns
+        kept = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in got.collect()))
+        assert kept == sorted([(False, 1, long), (False, 5, clean), (False, 7, ""), (False, 8, ""), (True, 0, long), (True, 0, long)])

@@ -280,3 +280,33 @@ def test_edited_passages_verify():
     covered = {k for s in spans for k in range(s[0], s[1])}
     assert len(covered) > 100
     assert not passages.matching_spans(a, read(_random_text(rng, 140).split(" ")), seeds, 46, 0.8)
+
+
+def template_texts(n, common, own):
+    shared = " ".join(f"t{i}" for i in range(common))
+    return [(k, shared + " " + " ".join(f"x{k}w{i}" for i in range(own))) for k in range(n)]
+
+
+@pytest.mark.parametrize("own, one", [(92, False), (40, True)])
+def test_texts_of_a_template(spark, monkeypatch, own, one):
+    """Below the threshold no pair of a template's texts is verified, above it all are one component."""
+    verified, plainly = spark.sparkContext.accumulator(0), jaccard._verifier
+
+    def counting(n, percent):
+        inner = plainly(n, percent)
+
+        def run(batches):
+            def seen():
+                for batch in batches:
+                    verified.add(batch.num_rows)
+                    yield batch
+
+            return inner(seen())
+
+        return run
+
+    monkeypatch.setattr(jaccard, "_verifier", counting)
+    docs = template_texts(200, 900, own)
+    found = jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert {r["component_id"] for r in found} == ({0} if one else set(range(200)))
+    assert verified.value <= 2 * len(docs)
