@@ -19,18 +19,32 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by shared 4-word shingles the smallest id stays, in one row.
+    """Of each group of texts linked by shared 4-word shingles the one with the smallest id stays, in one row.
 
-    Rows without an id belong to no group and stay.
+    Texts are judged, not ids: of rows that share an id and differ in text each stays or goes with its
+    own group. Within a group ties of the id go to the smaller hash of the text. Texts without a word
+    are groups of their own by id and text. Rows without an id belong to no group and stay.
     """
-    found = jaccard.jaccard_components(docs.select("doc_id", "text")).where("doc_id IS NOT NULL")
-    per = found.groupBy("doc_id").agg(F.max(F.expr("doc_id = component_id")).alias("stays"), F.count("*").alias("n"))
-    # Only ids that go or repeat are looked up, so texts are not moved where these are few.
+    found = jaccard.jaccard_components(docs.select("doc_id", "text"), per_text=True).where("doc_id IS NOT NULL")
+    alone = F.struct(F.xxhash64("doc_id", "text_hash").alias("group"), F.lit(True).alias("wordless"))
+    group = F.when(F.col("group").isNull(), alone).otherwise(F.struct("group", F.lit(False).alias("wordless")))
+    texts = found.select(group.alias("group"), "doc_id", "text_hash").groupBy("group", "doc_id", "text_hash")
+    path = scratch_path(spark, "pipeline-groups")
+    texts.agg(F.count("*").alias("n")).write.parquet(path)
+    texts = spark.read.schema(
+        "group struct<group: bigint, wordless: boolean>, doc_id bigint, text_hash bigint, n bigint"
+    ).parquet(path)
+    first = texts.groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.sum("n").alias("rows"))
+    stays = F.struct("doc_id", "text_hash") == F.col("first")
+    # Only texts that go or repeat are looked up, so texts are not moved where these are few.
     path = scratch_path(spark, "pipeline-copies")
-    per.where("NOT stays OR n > 1").select("doc_id", "stays").write.parquet(path)
-    looked_up = spark.read.schema("doc_id bigint, stays boolean").parquet(path)
-    single = docs.join(looked_up.select("doc_id"), "doc_id", "left_anti")
-    repeated = docs.join(looked_up.where("stays").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    judged = texts.join(first.where("rows > 1").drop("rows"), "group").select("doc_id", "text_hash", "n", stays.alias("stays"))
+    judged.where("NOT stays OR n > 1").select("doc_id", "text_hash", "stays").write.parquet(path)
+    looked_up = spark.read.schema("doc_id bigint, text_hash bigint, stays boolean").parquet(path)
+    keys = ["doc_id", "text_hash"]
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
+    single = hashed.join(looked_up.select(*keys), keys, "left_anti")
+    repeated = hashed.join(looked_up.where("stays").select(*keys), keys, "left_semi").dropDuplicates(keys)
     return single.unionByName(repeated).select(docs.columns)
 
 
