@@ -2,15 +2,20 @@
 
 A page is cut into blocks at every element that is not inline. Each block has its number
 of words, the share of them inside links, the same two of its neighbours, and its zone:
-whether the innermost telling element around it (by name, class, id or role) is page
-furniture, an article, or nothing of the kind. A decision tree grown on the labelled table
-below keeps or drops the block.
+whether an element around it is page furniture, the innermost telling one an article, or
+nothing of the kind. A decision tree grown on the labelled table below keeps or drops the
+block. Furniture is told by the element or by the noun of a class, id or role; where nothing
+is left of a page, what was furniture by such a name alone is judged as if it had none.
+
+A page is read once from front to back: what a tag or quote leaves open is not looked for
+again.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,17 +42,58 @@ _FURNITURE_NAMES = frozenset(
     "copyright legal comment comments commentlist reply replies discussion respond login search toolbar complementary "
     "contentinfo hidden".split()
 )
-_ARTICLE_NAMES = frozenset("article articlebody post entry story maincontent".split())
-
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(script|style|noscript|template|textarea|iframe|svg|object|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<(/?)([a-z][a-z0-9:-]*)([^>]*)>",
-    re.S | re.I,
+_ARTICLE_NAMES = frozenset("article articlebody post entry story main maincontent".split())
+#: Parts of a name that say where or what a box is; the noun stands before them.
+_PLACES = frozenset(
+    "area bar block body bottom box button buttons card col column container content group holder icon inner item items left "
+    "line link links list outer panel right row section slot text top unit wrap wrapper zone".split()
 )
-_NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?(?:false|until))|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+#: A name that begins so tells of something else on the page.
+_ABOUT = frozenset("with without no not has hasnt is show shows hide below above before after".split())
+
+_START = re.compile(r"<(?:(!--)|([!?])|(/?)([a-z][a-z0-9:-]*))", re.I)
+_REST = re.compile(r"[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*")
+_RAW = frozenset("script style noscript template textarea iframe svg object canvas".split())
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW}
+_ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+
+
+def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """Text (``"", text, ""``), tags (``name, "", attributes``) and end tags (``name, "/", ""``) in order.
+
+    Comments, declarations and elements of other contents are left out; one that is not closed
+    reaches to the end, as does a tag. After a quote that never ends quotes protect no longer.
+    """
+    start = at = 0
+    last, quotes = page.rfind(">"), True
+    while (lt := page.find("<", at)) >= 0:
+        found = _START.match(page, lt)
+        if not found:
+            at = lt + 1
+            continue
+        if lt > start:
+            yield "", page[start:lt], ""
+        start = at = len(page)
+        if found[1]:
+            end = page.find("-->", lt + 4)
+            at = len(page) if end < 0 else end + 3
+        elif last >= found.end():
+            end = page.find(">", found.end())
+            if found[4] and quotes:
+                whole = _REST.match(page, found.end()).end()
+                quotes = whole < len(page) and page[whole] == ">"
+                end = whole if quotes else end
+            at = end + 1
+            tag = (found[4] or "").lower()
+            if tag:
+                yield tag, found[3], page[found.end() : end]
+            if tag in _RAW and not found[3]:
+                close = _RAW_END[tag].search(page, at)
+                at = close.end() if close else len(page)
+        start = at
+    if start < len(page):
+        yield "", page[start:], ""
 
 
 @dataclass
@@ -56,78 +102,94 @@ class Block:
     words: int
     linked: int
     zone: int
+    #: Furniture by a name alone.
+    named: bool = False
 
     @property
     def density(self) -> float:
         return self.linked / self.words if self.words else 0.0
 
 
-def _zone(tag: str, attributes: str) -> int | None:
+def _meaning(name: str) -> int | None:
+    """What a class, id or role says: the noun is its last part that is no place."""
+    parts = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower())
+    if not parts or parts[0] in _ABOUT:
+        return None
+    while len(parts) > 1 and parts[-1] in _PLACES:
+        parts.pop()
+    if parts[-1] in _FURNITURE_NAMES:
+        of_article = parts[-1] == "header" and not _ARTICLE_NAMES.isdisjoint(parts)
+        return None if of_article else FURNITURE
+    return ARTICLE if parts[-1] in _ARTICLE_NAMES else None
+
+
+def _zone(tag: str, attributes: str) -> tuple[int | None, bool]:
+    """Zone that an element opens, if any, and whether a name alone says so."""
     if tag in _FURNITURE_TAGS:
-        return FURNITURE
-    if attributes:
-        if _HIDDEN.search(attributes):
-            return FURNITURE
-        names: set[str] = set()
-        for found in _NAMES.finditer(attributes):
-            value = next(filter(None, found.groups()), "")
-            names.update(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()))
-            names.update(re.findall(r"[a-z]+", value.lower()))
-        if names & _FURNITURE_NAMES and tag not in ("body", "html"):
-            return FURNITURE
-        if names & _ARTICLE_NAMES or tag in _ARTICLE_TAGS:
-            return ARTICLE
-    return ARTICLE if tag in _ARTICLE_TAGS else None
+        return FURNITURE, False
+    said: set[int | None] = set()
+    for found in _ATTRIBUTE.finditer(attributes):
+        name = found[1].lower()
+        value = found[2] or found[3] or found[4] or ""
+        if name == "hidden" and value.lower() not in ("false", "until-found"):
+            return FURNITURE, False
+        if name == "aria-hidden" and value.lower() == "true" or name == "style" and _UNSEEN.search(value):
+            return FURNITURE, False
+        if name in ("class", "id", "role", "itemprop"):
+            said.update(_meaning(one) for one in value.split())
+    if tag in _ARTICLE_TAGS:
+        return ARTICLE, False
+    if FURNITURE in said and tag not in ("body", "html"):
+        return FURNITURE, True
+    return (ARTICLE if ARTICLE in said else None), False
 
 
 def blocks_of(page: str) -> list[Block]:
     """Flat blocks of a page in order, without empty ones. Markup left open ends with its parent."""
     blocks: list[Block] = []
-    stack: list[tuple[str, int]] = []  # open elements with the zone inside them
+    stack: list[tuple[str, int, bool]] = []  # open elements with the zone inside them
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     links: list[str] = []
     depth_in_link = 0
-    zone = PLAIN
+    zone, named = PLAIN, False
 
     def close() -> None:
         words = len(text := " ".join("".join(parts).split())) and text.count(" ") + 1
         if words:
             linked = len("".join(links).split())
-            blocks.append(Block(text, words, min(linked, words), zone))
+            blocks.append(Block(text, words, min(linked, words), zone, named))
         parts.clear()
         links.clear()
 
-    def add(raw: str) -> None:
-        text = html.unescape(raw) if "&" in raw else raw
-        parts.append(text)
-        if depth_in_link:
-            links.append(text)
-        elif links:
-            links.append(" ")
-
-    at = 0
-    for token in _TOKEN.finditer(page):
-        if token.start() > at:
-            add(page[at : token.start()])
-        at = token.end()
-        tag = token.group(3) or token.group(6)
+    for tag, other, attributes in _tokens(page):
         if not tag:
-            if token.group(1):
+            text = html.unescape(other) if "&" in other else other
+            parts.append(text)
+            if depth_in_link:
+                links.append(text)
+            elif links:
+                links.append(" ")
+            continue
+        if tag in _RAW:
+            if not other:
                 close()
             continue
-        tag = tag.lower()
-        ends = token.group(2) or token.group(5)
-        if ends:
+        if other:
             if tag not in _INLINE:
                 close()
             depth_in_link = max(0, depth_in_link - 1) if tag == "a" else depth_in_link
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if any(z != zone for _, z in stack[k:]) or (stack[k - 1][1] if k else PLAIN) != zone:
-                        close()
-                    del stack[k:]
-                    zone = stack[-1][1] if stack else PLAIN
-                    break
+            if opened[tag]:
+                before = zone, named
+                while True:
+                    gone = stack.pop()
+                    opened[gone[0]] -= 1
+                    if gone[0] == tag:
+                        break
+                inside = stack[-1][1:] if stack else (PLAIN, False)
+                if inside != before:
+                    close()
+                zone, named = inside
             continue
         if tag not in _INLINE:
             close()
@@ -137,14 +199,13 @@ def blocks_of(page: str) -> list[Block]:
             depth_in_link = 1
         if tag in _VOID:
             continue
-        own = _zone(tag, token.group(4) or token.group(7) or "")
-        if own is not None and own != zone:
+        own, by_name = _zone(tag, attributes)
+        # Furniture stays furniture below, but for what only its name makes so.
+        if own is not None and (zone != FURNITURE or named and own == FURNITURE and not by_name) and (own, by_name) != (zone, named):
             close()
-            zone = own
-        stack.append((tag, zone))
-    if at < len(page):
-        rest = page[at:]
-        add(rest if "<" not in rest else re.sub(r"<[a-z/!?][^>]*\Z", "", rest, flags=re.I | re.S))
+            zone, named = own, by_name
+        stack.append((tag, zone, named))
+        opened[tag] += 1
     close()
     return blocks
 
@@ -232,7 +293,14 @@ def main_text(page: str | None, tree: Tree) -> str:
     found = blocks_of(page or "")
     if not found:
         return ""
-    return " ".join(b.text for b, keep in zip(found, tree.keep(features(found)), strict=True) if keep)
+    kept = tree.keep(features(found))
+    if not kept.any():
+        # Names are not believed where they take the whole page, and short lines that are no links are all it has.
+        found = [Block(b.text, b.words, b.linked, PLAIN) if b.named else b for b in found]
+        kept = tree.keep(features(found))
+        if not kept.any():
+            kept = [b.zone == PLAIN and b.density < 0.5 and any(map(str.isalnum, b.text)) for b in found]
+    return " ".join(b.text for b, keep in zip(found, kept, strict=True) if keep)
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
