@@ -89,6 +89,20 @@ PAGES = [
     ("<article><p>Text<script>var t='</p>';</script> goes on</p><!-- <p>no</p> --><style>p{}</style><div id=comments><p>A reader wrote this long line of words</p></div><p>end</article>", "Text goes on end"),
     ("<ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul><p>" + "running text " * 30 + "</p><p>" + "more of it " * 30, ("running text " * 30 + "more of it " * 30).strip()),
     ("<article><p>unclosed <b>bold<p>next</article><div class=cookie-banner>We set cookies</div>", "unclosed bold next"),
+    # names that tell of something else on the page, or whose noun is no furniture
+    ("<article style='overflow:hidden'>kept text</article>", "kept text"), ("<article data-menu='hidden'>kept text</article>", "kept text"),
+    ("<main class='with-sidebar'>kept text</main><div class=sidebar>not this</div>", "kept text"),
+    ("<div class='content no-sidebar'><p>" + "kept text " * 20 + "</div>", ("kept text " * 20).strip()),
+    ("<article class='post has-comments'>kept text</article>", "kept text"), ("<article class='share-price'>kept text</article>", "kept text"),
+    ("<section class='rail-travel'><p>" + "kept text " * 20 + "</section>", ("kept text " * 20).strip()), ("<p>Hello world</p>", "Hello world"),
+    # furniture stays furniture below
+    ("<article>kept</article><div id='comments'><article>reader text</article></div>", "kept"),
+    ("<main>kept</main><aside><article>related</article></aside>", "kept"), ("<nav><div class='entry'>menu</div></nav><main>kept</main>", "kept"),
+    # without an article words and density of links decide
+    ("<div><a href=a>One</a> <a href=b>Two</a></div><div>" + "running text " * 30 + "</div><div><a href=c>next one</a></div>", ("running text " * 30).strip()),
+    # a name that takes the whole page is not believed
+    ("<div class='widget'><p>" + "running text " * 30 + "</p></div>", ("running text " * 30).strip()),
+    ("<p title='a > b'>kept</p><p title='open>also kept</p>", "kept also kept"),
     (None, ""), ("", ""), ("<", ""), ("<p", ""), ("<article>a < b &lt;i&gt; <p hidden>no</p><p>&#233;&eacute;", "a < b <i> éé"),
 ]
 
@@ -98,6 +112,17 @@ def test_main_text(page, text):
     assert html.main_text(page, html.train_tree()) == text
 
 
+@pytest.mark.parametrize(
+    "page", ["<script " * 40_000, "<a " * 160_000, "<p>" * 50_000 + "</b>" * 50_000, "<a \"'>" * 50_000, "<!-- " * 50_000, "<div class=x>" * 50_000 + "</div>" * 50_000, "<" * 100_000]
+)
+def test_time_follows_the_length(page):
+    import time
+
+    begun = time.monotonic()
+    html.main_text(page + "<p>end", html.train_tree())
+    assert time.monotonic() - begun < 10
+
+
 def test_tree_fits_its_table():
     tree = html.train_tree()
     assert (tree.keep(html.LABELLED[:, :-1]) == html.LABELLED[:, -1].astype(bool)).all()
