@@ -310,3 +310,34 @@ def test_texts_of_a_template(spark, monkeypatch, own, one):
     found = jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
     assert {r["component_id"] for r in found} == ({0} if one else set(range(200)))
     assert verified.value <= 2 * len(docs)
+
+
+def test_passages_of_repeated_words(spark):
+    """Words that come thousands of times in a row are two places, not thousands; the rest is found."""
+    rng = random.Random(11)
+    tail = " ".join(f"q{rng.randrange(10**6)}" for _ in range(60))
+    docs = [(i, "spam " * 5000 + tail + f" end{i}") for i in range(3)]
+    docs += [(3, "one two three four five six " * 300), (4, "one two three four five six " * 200 + "last words")]
+    found = passages.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    by = {}
+    for r in found:
+        by.setdefault(r["doc_id"], []).append((r["start_word"], r["end_word"]))
+    for i in range(3):
+        assert any(a <= 5000 and b >= 5060 for a, b in by[i])
+    assert {3, 4} <= set(by)
+
+
+def test_marked_places_cover_all_shared_keys(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL")
+    rows = rows.selectExpr("xxhash64(text) AS node", "text")
+    whole = np.full(1 << (passages.FILTER_BITS - 3), 255, dtype=np.uint8)
+    schema = "key long, node long, c int, l short, r short"
+    bits = passages.shared_places(rows, 46)
+
+    def shared(b):
+        windows = rows.mapInArrow(passages._windows(46, b), schema)
+        return {
+            r["key"] for r in windows.selectExpr("key", "node").distinct().groupBy("key").count().where("count > 1").collect()
+        }
+
+    assert shared(bits) == shared(whole) and np.unpackbits(bits).sum() > 0
