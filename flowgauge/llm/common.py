@@ -66,17 +66,19 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def labelled_sample(rows: DataFrame, id_col: str, label_col: str, per_label: int) -> list:
-    """Rows of each label, about ``per_label`` of them, picked by a hash of the id.
+    """Distinct rows of each label, about ``per_label`` of them, picked by a hash of the whole row.
 
-    A label with fewer rows gives all. The share of each label follows from its count
-    over all rows, so the size of what reaches the driver is bounded by the parameter
-    and the number of labels, not by the table. Rows come in the order of their hash.
+    A label with fewer gives all. The share of each label follows from the number of its
+    distinct rows, estimated over all rows, so the size of what reaches the driver is
+    bounded by the parameter and the number of labels, not by the table, also where one
+    id or none stands in many rows. Rows come in the order of their hash.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(label_col).count().collect()}
-    place = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1 << 30))
+    distinct = F.approx_count_distinct(F.xxhash64(*rows.columns))
+    counts = {r[0]: r[1] for r in rows.groupBy(label_col).agg(distinct).collect()}
+    place = F.pmod(F.xxhash64(F.lit("sample"), *rows.columns), F.lit(1 << 30))
     picked = F.lit(False)
     for label, n in counts.items():
         share = min(1.0, per_label / n)
-        picked = picked | ((F.col(label_col) == F.lit(label)) & (place < F.lit(int(share * (1 << 30)))))
-    found = rows.where(F.coalesce(picked, F.lit(False))).withColumn("__place", place).collect()
-    return sorted(found, key=lambda r: (r["__place"], str(r[id_col])))
+        picked = picked | ((F.col(label_col) == F.lit(label)) & (F.col("__place") < F.lit(int(share * (1 << 30)))))
+    found = rows.withColumn("__place", place).where(F.coalesce(picked, F.lit(False))).dropDuplicates(rows.columns)
+    return sorted(found.collect(), key=lambda r: (r["__place"], str(r[id_col])))
