@@ -130,3 +130,16 @@ def test_queries_keep_the_contract(spark, sf_dir):
         assert len(got) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
         assert {"doc_id", "held_out", "score", *more} == set(got[0].asDict())
         assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+
+
+def test_sample_of_a_hot_id_is_bounded(spark):
+    """A third of the rows on one id, or without one, do not reach the driver together; repeated rows count once."""
+    from flowgauge.llm.common import labelled_sample
+
+    rows = spark.range(30_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 3 = 1 THEN NULL ELSE id END AS doc_id", "concat('text ', id div 2) AS text", "id % 2 AS label"
+    )
+    found = labelled_sample(rows, "doc_id", "label", 1000)
+    assert 1600 <= len(found) <= 2400 and len({tuple(r) for r in found}) == len(found)
+    same = spark.range(20_000).selectExpr("1 AS doc_id", "'one' AS text", "0 AS label")
+    assert len(labelled_sample(same, "doc_id", "label", 1000)) == 1
