@@ -7,7 +7,7 @@ from pyspark import cloudpickle
 
 from flowgauge.functions import nets
 from flowgauge.operators import cpu as C
-from flowgauge.streaming import streams as L
+from flowgauge.streaming import keyed as L
 
 
 def test_task_code_travels_by_value(tmp_path):
