@@ -31,6 +31,8 @@ BLOCK_SEEDS = 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Items shorter than this count as copied only if they stand in the text word for word.
 FULL_WORDS = 8
+#: Places of items that are opened at once for the seeds of a text.
+OPENED = 1 << 20
 
 
 @dataclass
@@ -118,19 +120,29 @@ def _passages(items: Items, words: np.ndarray, enough: np.ndarray, has: np.ndarr
     place, seed = items.hits(words)
     if not len(place):
         return []
-    n = np.diff(items.begin)[seed]
-    posting = _ranges(items.begin[seed], n)
-    item, shift = items.item[posting], np.repeat(place, n) - items.place[posting]
     at = np.minimum(np.searchsorted(items.known, words), len(items.known) - 1)
     word = np.where(items.known[at] == words, at, -1)
-    # Every matching column of an alignment takes one of the item's words that the text has.
-    own, which = np.unique(item, return_inverse=True)
+    # Every matching column of an alignment takes one of the item's words that the text has. Items are
+    # judged by it from each seed once, before the places of seeds that come often are opened.
+    n = np.diff(items.begin)
+    met = np.unique(seed)
+    own = np.unique(items.item[_ranges(items.begin[met], n[met])])
     length = np.diff(items.start)
     has[word] = True
     held = np.add.reduceat(has[items.word[_ranges(items.start[own], length[own])]], np.cumsum(length[own]) - length[own], dtype=np.int64)
     has[word] = False
-    hopeful = (MATCH * held >= enough[own])[which]
-    item, shift = item[hopeful], shift[hopeful]
+    hopeful = np.zeros(len(length), dtype=bool)
+    hopeful[own[MATCH * held >= enough[own]]] = True
+    if not hopeful.any():
+        return []
+    opened = np.cumsum(n[seed])
+    cuts = np.searchsorted(opened, np.arange(0, opened[-1], OPENED), side="left")
+    found = []
+    for a, b in zip(cuts, [*cuts[1:], len(seed)], strict=True):
+        posting = _ranges(items.begin[seed[a:b]], n[seed[a:b]])
+        keep = hopeful[items.item[posting]]
+        found.append((items.item[posting][keep], (np.repeat(place[a:b], n[seed[a:b]]) - items.place[posting])[keep]))
+    item, shift = (np.concatenate(x) for x in zip(*found, strict=True))
     if not len(item):
         return []
     order = np.lexsort((shift, item))
