@@ -341,3 +341,20 @@ def test_marked_places_cover_all_shared_keys(spark, sf_dir):
         }
 
     assert shared(bits) == shared(whole) and np.unpackbits(bits).sum() > 0
+
+
+def test_items_of_one_beginning_and_a_text_that_repeats_it(spark):
+    """Places of a seed are opened only for items that the text could hold."""
+    import resource
+
+    begin = "which of the following is"
+    items = decontaminate.Items.of([(i, f"{begin} " + " ".join(f"w{i}x{k}" for k in range(10))) for i in range(4000)])
+    texts = [f"{begin} " * 2000, f"{begin} " * 2000 + items_text(7)]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found = decontaminate.scores(items, texts, decontaminate.WordReader(), 0.5)
+    assert found[0] == {} and set(found[1]) == {7}
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000  # KB
+
+
+def items_text(i):
+    return "which of the following is " + " ".join(f"w{i}x{k}" for k in range(10))
