@@ -122,4 +122,5 @@ SQL: dict[str, str] = {
     "op2_line_dedup": lines.OP2_SQL,
     "op8_source_mixing": mixing.OP8_SQL,
     "op11_conversation_repair": dialogue.OP11_SQL,
+    "op13_importance_resampling": resampling.OP13_SQL,
 }

@@ -225,3 +225,60 @@ def resample(
     weighted = importance_weights(docs, target, id_col, text_col)
     drawn = draw(weighted, id_col, percent=percent, min_words=min_words, seed=seed).where("rank IS NOT NULL")
     return docs.join(drawn.select(id_col), id_col, "left_semi").select(docs.columns)
+
+
+OP13_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id AS id, 0 AS side, text FROM documents UNION ALL SELECT item_id, 1, text FROM benchmark
+), listed AS (
+  SELECT id, side, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts
+), runs AS (
+  SELECT id, side, array_to_string(w[i:i + n - 1], ' ') AS f
+  FROM (SELECT id, side, w, unnest(range(1, len(w) + 1)) AS i FROM listed), (SELECT unnest([1, 2, 3]) AS n)
+  WHERE i + n - 1 <= len(w)
+), counted AS (SELECT id, side, f, count(*) AS n FROM runs GROUP BY id, side, f),
+hexed AS (SELECT f, hex(encode(f)) AS h, octet_length(encode(f)) AS size FROM (SELECT DISTINCT f FROM counted)),
+longest AS (SELECT coalesce(max(size), 0) AS most FROM hexed),
+-- The checksum is linear: each byte adds its own, shifted by the bytes behind it.
+crc_bytes AS (
+  SELECT i AS b, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) AS v
+  FROM range(256) r(i)
+), shifted AS (
+  SELECT 0::BIGINT AS behind, b, v FROM crc_bytes
+  UNION ALL
+  SELECT behind + 1, s.b, xor(s.v // 256, t.v) FROM shifted s JOIN crc_bytes t ON t.b = s.v % 256
+  WHERE behind + 1 < (SELECT most FROM longest)
+), started AS (
+  SELECT 0::BIGINT AS size, 4294967295::BIGINT AS v
+  UNION ALL
+  SELECT size + 1, xor(s.v // 256, t.v) FROM started s JOIN crc_bytes t ON t.b = s.v % 256
+  WHERE size < (SELECT most FROM longest)
+), opened AS (
+  SELECT f, size, size - 1 - i AS behind,
+         16 * (instr('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1) + instr('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1 AS b
+  FROM (SELECT f, size, h, unnest(range(size)) AS i FROM hexed)
+), summed AS (
+  SELECT f, any_value(size) AS size, bit_xor(v) AS v FROM opened JOIN shifted USING (behind, b) GROUP BY f
+), hashed AS (
+  SELECT f, xor(xor(m.v, s.v), 4294967295) % 10000 AS bucket FROM summed m JOIN started s USING (size)
+), used AS (SELECT id, side, bucket, sum(n) AS n FROM counted JOIN hashed USING (f) GROUP BY id, side, bucket),
+buckets AS (
+  SELECT i AS bucket, coalesce(sum(n) FILTER (WHERE side = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (WHERE side = 1), 0)::DOUBLE AS t
+  FROM range(10000) r(i) LEFT JOIN used ON used.bucket = i GROUP BY i
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * ((sum(s) OVER ()) + 10000) / ((s + 1) * ((sum(t) OVER ()) + 10000))))::BIGINT AS gain FROM buckets
+), weighed AS (
+  SELECT id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM used JOIN gains USING (bucket) WHERE side = 0 GROUP BY id
+), scored AS (
+  SELECT id, len(w) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((list_reduce(
+           list_transform(range(1, 9), lambda i: instr('0123456789abcdef', sha256('42:' || id)[i])::BIGINT - 1),
+           lambda a, d: a * 16 + d) + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM listed LEFT JOIN weighed USING (id) WHERE side = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, id) AS place,
+         count(*) FILTER (WHERE words >= 20) OVER () AS may FROM scored
+)
+SELECT id AS doc_id, n_features, weight, score, CASE WHEN words >= 20 AND place <= 5 * may // 100 THEN place END AS rank FROM ranked
+"""

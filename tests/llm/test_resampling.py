@@ -5,11 +5,12 @@ import math
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
 from flowgauge.llm import resampling
-from flowgauge.llm.queries import QUERIES
+from flowgauge.llm.queries import QUERIES, SQL
 
 _LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 SCHEMA = "doc_id bigint, text string"
@@ -50,6 +51,10 @@ def test_query_equals_plain_version(spark, sf_dir):
     rows = QUERIES["op13_importance_resampling"](spark, sf_dir)
     assert [t for _, t in rows.dtypes] == ["bigint"] * 5
     assert {tuple(r) for r in rows.collect()} == plain(docs, target)
+    db = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+    assert set(db.execute(SQL["op13_importance_resampling"]).fetchall()) == plain(docs, target)
 
 
 def test_planes_equal_the_sum_of_products():
