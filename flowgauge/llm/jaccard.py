@@ -341,28 +341,32 @@ def jaccard_components(
     classes = cut_lineage(known.groupBy("node").agg(F.min("doc").alias("doc")))
     # What a set has left from a shingle on, with it.
     keyed = known.select("node", "size", F.posexplode("keys").alias("pos", "key"))
-    keyed = keyed.select("node", "key", F.col("size").cast("int").alias("size"), F.expr("cast(size - pos as int)").alias("reach"))
+    # Size and rest travel as one number, which keeps the rows of cells short.
+    keyed = keyed.select("node", "key", F.expr("shiftleft(size, 31) | (size - pos)").alias("at"))
+    size, reach = F.shiftright("at", 31), F.col("at").bitwiseAND(F.lit((1 << 31) - 1))
     shared = keyed.groupBy("key").agg(F.min("node").alias("n0"), F.max("node").alias("n1")).where("n0 < n1")
     # Sides of joins by key are written first, so that adaptive execution can split hot keys.
     shared = cut_lineage(shared.select("key"))
     # A cell is a key and a band of sizes. Bands are a little wider than the sizes of a linked
     # pair can differ, so partners are one band apart at most: a set is in its own band, its
     # home, and in the next.
-    own = F.floor(F.log(F.col("size").cast("double")) / F.lit(float(np.log(100 / percent)) * 1.001)).cast("int")
+    own = F.floor(F.log(size.cast("double")) / F.lit(float(np.log(100 / percent)) * 1.001)).cast("int")
     banded = cut_lineage(
         keyed.join(shared, "key")
-        .select("key", "node", "size", "reach", own.alias("own"))
+        .select("key", "node", "at")
         .distinct()
-        .withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
-        .select("key", "band", (F.col("band") == F.col("own")).alias("home"), "node", "size", "reach")
+        .select("key", "node", "at", F.explode(F.array(own, own + 1)).alias("band"))
     )
+    home = F.col("band") == own
     met = banded.groupBy("key", "band").agg(
-        F.min("node").alias("n0"), F.max("node").alias("n1"), F.max("home").alias("met"), F.min("size").alias("least")
+        F.min("node").alias("n0"), F.max("node").alias("n1"), F.max(home).alias("met"), F.min(size).alias("least")
     )
     met = cut_lineage(met.where("n0 < n1 AND met").select("key", "band", "least"))
     # A set stays where it could link with one as small as the least of the cell.
-    cells = banded.join(met, ["key", "band"]).where(f"reach >= {_needed('size + least', percent)}").drop("least")
-    cells = stored(cells, "cells")
+    cells = banded.join(met, ["key", "band"]).select(
+        "key", "band", home.alias("home"), "node", size.cast("int").alias("size"), reach.cast("int").alias("reach"), "least"
+    )
+    cells = stored(cells.where(f"reach >= {_needed('size + least', percent)}").drop("least"), "cells")
 
     # Only texts that share a cell with another set are moved.
     wanted = classes.join(cells.select("node").distinct(), "node")
@@ -376,7 +380,14 @@ def jaccard_components(
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(side("a", "text"), "a").join(side("b", "text"), "b").select("a", "b", "text_a", "text_b")
-        return cut_lineage(both.mapInArrow(_verifier(words, percent), "a long, b long"))
+        # Both texts of every pair go to Python, a few pairs at a time: a hub's text comes with each of its copies.
+        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = spark.conf.get(name)
+        spark.conf.set(name, "500")
+        try:
+            return cut_lineage(both.mapInArrow(_verifier(words, percent), "a long, b long"))
+        finally:
+            spark.conf.set(name, before)
 
     # Every document of a cell against the one that shares most of its cells: in a family of
     # copies that is the text they were made from, or the one closest to it.
