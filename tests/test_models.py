@@ -102,3 +102,45 @@ def test_linear_baseline(spark):
     )
     got = J.fit_linear_load(df).first()
     assert (got["slope"], got["intercept"], got["r2"]) == pytest.approx((2, 1, 1))
+
+
+def test_no_fit_is_worse_than_the_line(spark):
+    """The output's bend does not keep a network that starts as a line from being one."""
+    x = F.col("id") % 40
+    df = spark.range(400).select(
+        F.lit("c").alias("component"), (x / 4.0 + 20).alias("norm_traffic"), (0.15 + x * 0.015 + (F.col("id") % 3) * 1e-3).alias("norm_load")
+    )
+    left = df.agg(F.var_pop("norm_load") * (1 - F.regr_r2("norm_load", "norm_traffic"))).first()[0]
+    (fit,) = J.fit_component_models(df, tolerance=left, max_epochs=0).collect()
+    assert fit["mse"] <= 1.05 * left, (fit["mse"], left)
+
+
+@pytest.mark.parametrize("method", ["rprop", "newton"])
+def test_networks_of_few_inputs_take_the_same_steps(spark, train, method):
+    """A fit in one task and one by Spark passes end at the same weights and epochs."""
+    df = train.withColumn("component", F.when(F.col("component") == "a", "a"))
+    ways = []
+    for alone in (0, 10_000):
+        models = J.fit_networks(
+            df, ["component"], ["norm_traffic"], "norm_load", hidden=3, tolerance=1e-9, max_epochs=4, method=method, attempts=2, alone=alone
+        )
+        ways.append({r["component"]: r for r in models.collect()})
+    assert set(ways[0]) == set(ways[1]) == {"a", None}
+    for key in ways[0]:
+        assert ways[0][key]["epochs"] == ways[1][key]["epochs"] and ways[0][key]["n"] == ways[1][key]["n"] == 400
+        assert ways[0][key]["mse"] == pytest.approx(ways[1][key]["mse"], rel=1e-4)
+
+
+def test_long_fits_of_few_inputs_need_no_passes(spark):
+    """Thousands of epochs of a network with few inputs: no job an epoch."""
+    df = spark.range(60).select(
+        F.lit("c").alias("component"), (F.col("id") % 20).cast("double").alias("norm_traffic"), (F.abs(F.hash("id")) % 100 / 100.0).alias("norm_load")
+    )
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("long-fit", "long-fit")
+    try:
+        (fit,) = J.fit_component_models(df, max_epochs=2_000).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert fit["mse"] > 3e-5 and fit["epochs"] > 500
+    assert len(tracker.getJobIdsForGroup("long-fit")) < 60
