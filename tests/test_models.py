@@ -144,3 +144,15 @@ def test_long_fits_of_few_inputs_need_no_passes(spark):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert fit["mse"] > 3e-5 and fit["epochs"] > 500
     assert len(tracker.getJobIdsForGroup("long-fit")) < 60
+
+
+def test_worker_model_on_scattered_targets(spark):
+    """28 points that no line explains, far from zero: one set of hidden neurons stays at 0.9 of the variance."""
+    rows = []
+    for i in range(28):
+        load = 1.1 + 0.045 * i
+        rows.append((6.2 * load + 0.3 * ((i * 7) % 5), 6.0 * load + 0.3 * ((i * 3) % 7), load, float((i * 37 + (i * i) % 11 * 13) % 101) / 100))
+    df = spark.createDataFrame(rows, [*J.WORKER_INPUTS, "norm_cpu"])
+    variance = df.agg(F.var_pop("norm_cpu")).first()[0]
+    fit = J.fit_worker_model(df, method="newton", max_epochs=100).first()
+    assert fit["mse"] <= 0.5 * variance, fit["mse"] / variance
