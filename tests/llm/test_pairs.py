@@ -358,3 +358,35 @@ def test_items_of_one_beginning_and_a_text_that_repeats_it(spark):
 
 def items_text(i):
     return "which of the following is " + " ".join(f"w{i}x{k}" for k in range(10))
+
+
+def test_passages_at_every_place_of_a_repeated_pattern(spark):
+    """Of a long run of a pattern all that a shorter run holds is reported, and copies at middle places of a hub's key are."""
+    rng = random.Random(17)
+    filler = [_random_text(rng, 80) for _ in range(8)]
+    pattern = "one two three four five six "
+    docs = [(0, f"{filler[0]} " + pattern * 300 + filler[1]), (1, f"{filler[2]} " + pattern * 20 + filler[3])]
+    # A line that comes five times; the copies of the edited passage lie around the third.
+    line = " ".join(f"line{i}" for i in range(40))
+    around = [_random_text(rng, 30) for _ in range(10)]
+    hub = " ".join(f"{around[2 * i]} {line} {around[2 * i + 1]}" for i in range(5))
+    docs += [(2, hub), (3, f"{filler[4]} {around[4]} {line} {around[5].replace(' ', ' x ', 1)} {filler[5]}")]
+    found = passages.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    covered = {}
+    for r in found:
+        covered.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
+    assert set(range(80, 80 + 1800)) <= covered[0] and set(range(80, 80 + 120)) <= covered[1]
+    assert set(range(80, 80 + 70)) <= covered[3] and set(range(200, 270)) <= covered[2]
+
+
+def test_similar_windows_with_repeated_shingles():
+    """Windows are found though a shingle of theirs has several places in the other text."""
+    rng = np.random.default_rng(4)
+    b = rng.integers(0, 1 << 62, 46).astype(np.uint64)
+    b[20:32] = b[8:20]
+    a = b.copy()
+    a[8:12] = rng.integers(0, 1 << 62, 4).astype(np.uint64)
+    p, q = np.unique(a), np.unique(b)
+    both = len(np.intersect1d(p, q))
+    assert both >= 0.8 * (len(p) + len(q) - both)
+    assert passages._similar(a, b, 46, 0.8) == [0]
