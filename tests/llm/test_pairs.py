@@ -390,3 +390,51 @@ def test_similar_windows_with_repeated_shingles():
     both = len(np.intersect1d(p, q))
     assert both >= 0.8 * (len(p) + len(q) - both)
     assert passages._similar(a, b, 46, 0.8) == [0]
+
+
+def test_passage_spans_match_plain():
+    """All stretches of windows that reach the similarity with any window of the other text, and no more."""
+    rng = np.random.default_rng(3)
+
+    def plain_spans(a, b, length, least):
+        sides = [[set(v[i : i + length].tolist()) for i in range(max(0, len(v) - length + 1))] for v in (a, b)]
+        similar = lambda p, q: len(p & q) >= least * len(p | q) - 1e-9
+        at = [[i for i, p in enumerate(x) if any(similar(p, q) for q in y)] for x, y in (sides, sides[::-1])]
+        return tuple(passages._runs(np.array(k, dtype=np.int64), length) for k in at)
+
+    def edited(v):
+        v = v.copy()
+        v[rng.integers(0, len(v), rng.integers(0, 4))] = rng.integers(0, 1000)
+        return v
+
+    for _ in range(60):
+        length, least, words = int(rng.integers(5, 14)), float(rng.choice([0.5, 0.6, 0.8, 0.9])), int(rng.choice([4, 12, 40, 1000]))
+        base = rng.integers(0, words, rng.integers(3, 50)).astype(np.uint64)
+        rest = [rng.integers(0, words, rng.integers(0, 30)).astype(np.uint64) for _ in range(2)]
+        a = passages.mix(np.concatenate([rest[0], edited(base), edited(base)]) + np.uint64(1))
+        b = passages.mix(np.concatenate([edited(base), rest[1], edited(base)[2:]]) + np.uint64(1))
+        assert passages.passage_spans(a, b, length, least) == plain_spans(a, b, length, least)
+
+
+def test_texts_of_many_lines_that_nearly_link_verify_in_time():
+    """Sixty copies of a line in each text, just below the similarity, were half a minute for the pair."""
+    import time
+
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    line = _random_text(rng, 40).split(" ")
+
+    def text(step):
+        out = []
+        for i in range(60):
+            out += [*line[:20], f"x{step}y{i}", *line[20:], f"z{step}y{i}"]
+        return " ".join(out)
+
+    places = list(range(60 * 42 - 50))
+    seeds = [[{"key": 1, "shingle": None, "places": places, "long": True, "open": True}]]
+    batch = pa.RecordBatch.from_pydict({"a": [1], "b": [2], "seeds": seeds, "text_a": [text("p")], "text_b": [text("q")]})
+    began = time.time()
+    found = [r for out in passages._verifier(46, 0.8)(iter([batch])) for r in out.to_pylist()]
+    assert time.time() - began < 5
+    assert [(r["node"], r["key"], r["places"]) for r in found] == [(2, 1, places)]
