@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowgauge.llm import decontaminate, jaccard, mixing, tokens, toxicity
-from flowgauge.llm.common import table
+from flowgauge.llm.common import table, with_marks
 from flowgauge.runtime import scratch_path
 
 
@@ -36,16 +36,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     ).parquet(path)
     first = texts.groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.sum("n").alias("rows"))
     stays = F.struct("doc_id", "text_hash") == F.col("first")
-    # Only texts that go or repeat are looked up, so texts are not moved where these are few.
+    # Only texts that go or repeat are looked up; a bitmap of their keys tells which others need not be moved.
     path = scratch_path(spark, "pipeline-copies")
     judged = texts.join(first.where("rows > 1").drop("rows"), "group").select("doc_id", "text_hash", "n", stays.alias("stays"))
     judged.where("NOT stays OR n > 1").select("doc_id", "text_hash", "stays").write.parquet(path)
     looked_up = spark.read.schema("doc_id bigint, text_hash bigint, stays boolean").parquet(path)
     keys = ["doc_id", "text_hash"]
-    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
-    single = hashed.join(looked_up.select(*keys), keys, "left_anti")
-    repeated = hashed.join(looked_up.where("stays").select(*keys), keys, "left_semi").dropDuplicates(keys)
-    return single.unionByName(repeated).select(docs.columns)
+    hashed = with_marks(docs.withColumn("text_hash", F.xxhash64("text")), looked_up, keys)
+    moved = hashed.where("marked")
+    single = moved.join(looked_up.select(*keys), keys, "left_anti")
+    repeated = moved.join(looked_up.where("stays").select(*keys), keys, "left_semi").dropDuplicates(keys)
+    kept = hashed.where("NOT marked").unionByName(single).unionByName(repeated)
+    return kept.select(docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

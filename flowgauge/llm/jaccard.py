@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowgauge.llm.chars import mix
-from flowgauge.llm.common import components
+from flowgauge.llm.common import components, with_marks
 from flowgauge.llm.words import WordReader, chunks, shingles
 from flowgauge.runtime import cut_lineage, scratch_path
 
@@ -375,11 +375,14 @@ def jaccard_components(
     )
     nodes = stored(located, "nodes")
 
-    def side(x: str, *columns: str) -> DataFrame:
-        return nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+    def side(x: str, *columns: str, of: DataFrame = nodes) -> DataFrame:
+        return of.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(side("a", "text"), "a").join(side("b", "text"), "b").select("a", "b", "text_a", "text_b")
+        # Of the texts only those of a pair are moved.
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+        own = with_marks(nodes.select("node", "text"), ends, ["node"]).where("marked")
+        both = pairs.join(side("a", "text", of=own), "a").join(side("b", "text", of=own), "b").select("a", "b", "text_a", "text_b")
         # Both texts of every pair go to Python, a few pairs at a time: a hub's text comes with each of its copies.
         name = "spark.sql.execution.arrow.maxRecordsPerBatch"
         before = spark.conf.get(name)

@@ -6,8 +6,9 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from flowgauge.llm import decontaminate, embeddings, jaccard, passages, queries
-from flowgauge.llm.common import components
+from flowgauge.llm.common import components, with_marks
 from tests.llm import plain
 
 
@@ -438,3 +439,44 @@ def test_texts_of_many_lines_that_nearly_link_verify_in_time():
     found = [r for out in passages._verifier(46, 0.8)(iter([batch])) for r in out.to_pylist()]
     assert time.time() - began < 5
     assert [(r["node"], r["key"], r["places"]) for r in found] == [(2, 1, places)]
+
+
+def test_marks_leave_out_no_partner(spark):
+    """Every row with a partner is marked, NULL keys too, and few others are."""
+    rows = spark.range(20_000).selectExpr("id", "cast(id * 7 as string) AS t").union(spark.sql("SELECT NULL, 'x'"))
+    held = rows.where("id % 9 = 0 OR id IS NULL")
+    found = with_marks(rows, held, ["id", "t"])
+    assert found.columns == ["id", "t", "marked"] and found.count() == 20_001
+    assert found.where("(id % 9 = 0 OR id IS NULL) AND NOT marked").isEmpty()
+    assert found.where("id % 9 != 0 AND marked").count() < 100
+    assert with_marks(rows, held.limit(0), ["id", "t"]).where("marked").isEmpty()
+
+
+def _shuffled_rows(plan):
+    """Rows written by all exchanges of an executed plan."""
+    name, n = plan.getClass().getSimpleName(), 0
+    if name == "AdaptiveSparkPlanExec":
+        return _shuffled_rows(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return _shuffled_rows(plan.plan())
+    if name == "ShuffleExchangeExec":
+        n = plan.metrics().apply("shuffleRecordsWritten").value()
+    return n + sum(_shuffled_rows(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_texts_without_a_copy_are_not_moved(spark):
+    """Where the copies are too many for a broadcast, only rows that may be among them go through the joins."""
+    rng = random.Random(9)
+    docs = [(i, _random_text(rng, 30)) for i in range(300)]
+    docs += [(300, docs[7][1]), (8, docs[8][1]), (8, _random_text(rng, 30)), (None, docs[9][1]), (301, None), (301, None)]
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        df = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+        got = df.collect()
+        moved = _shuffled_rows(df._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set(name, before)
+    assert sorted(map(tuple, got), key=repr) == sorted([*docs[:300], docs[302], docs[303], docs[304]], key=repr)
+    assert 0 < moved < 50
