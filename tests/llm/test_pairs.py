@@ -480,3 +480,82 @@ def test_texts_without_a_copy_are_not_moved(spark):
         spark.conf.set(name, before)
     assert sorted(map(tuple, got), key=repr) == sorted([*docs[:300], docs[302], docs[303], docs[304]], key=repr)
     assert 0 < moved < 50
+
+
+def _near_copies(rng, n, words):
+    """Texts of one beginning, each with some words of its own, between others."""
+    base = _random_text(rng, words).split(" ")
+    out = []
+    for i in range(n):
+        own = base.copy()
+        for k in rng.sample(range(words), 3):
+            own[k] = f"own{i}x{k}"
+        out.append((i, " ".join([_random_text(rng, 20), *own, _random_text(rng, 20)])))
+    return out
+
+
+def _covered(spans):
+    out = {}
+    for i, first, last in spans:
+        out.setdefault(i, set()).update(range(first, last))
+    return out
+
+
+@pytest.fixture
+def compared(spark, monkeypatch):
+    """Counts the pairs of texts that are compared."""
+    n, plainly = spark.sparkContext.accumulator(0), passages._verifier
+
+    def counting(length, least):
+        inner = plainly(length, least)
+
+        def run(batches):
+            def seen():
+                for batch in batches:
+                    n.add(batch.num_rows)
+                    yield batch
+
+            return inner(seen())
+
+        return run
+
+    monkeypatch.setattr(passages, "_verifier", counting)
+    return n
+
+
+def test_many_near_copies_are_not_all_compared(spark, compared):
+    """Of 100 near copies all that repeats anywhere is found, without comparing each with each and pairs twice."""
+    docs = _near_copies(random.Random(41), 100, 200)
+    reader = passages.WordReader()
+    sets = [passages.shingles(reader.read([t])[0], 5) for _, t in docs]
+    want = []
+    for i, a in enumerate(sets):
+        for j in range(i):
+            for x, spans in zip((i, j), passages.passage_spans(a, sets[j], 46, 0.8), strict=True):
+                want += [(x, first, last + 4) for first, last in spans]
+    found = passages.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    got, want = _covered(r[:3] for r in found), _covered(want)
+    assert all(got[i] <= want[i] for i in got)
+    assert sum(map(len, got.values())) >= 0.99 * sum(map(len, want.values()))
+    assert compared.value < 100 * 99 / 2
+
+
+def test_passages_in_slices_leave_little_on_disk(spark, monkeypatch):
+    """Pairs taken some at a time give the same, and only what the result is read from stays."""
+    import glob
+
+    from flowgauge.runtime import shared_dir
+
+    docs = _near_copies(random.Random(43), 30, 120)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    whole = {tuple(r) for r in passages.repeated_passages(df).collect()}
+    folder = shared_dir(spark).removeprefix("file:") + "/flowgauge/passages-*"
+    before = set(glob.glob(folder))
+    monkeypatch.setattr(passages, "MOVED_TEXTS", 4)
+    monkeypatch.setattr(passages, "MOVED_LEAST", 1)
+    found = passages.repeated_passages(df)
+    left = {p.rpartition("/passages-")[2] for p in set(glob.glob(folder)) - before}
+    assert {tuple(r) for r in found.collect()} == whole and len(whole) >= 30
+    assert left and all(x.startswith(("classes-", "spans-")) for x in left)
+    assert sum(x.startswith("spans-hub-") for x in left) > 1 or sum(x.startswith("spans-few-") for x in left) > 1
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
