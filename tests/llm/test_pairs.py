@@ -559,3 +559,21 @@ def test_passages_in_slices_leave_little_on_disk(spark, monkeypatch):
     assert left and all(x.startswith(("classes-", "spans-")) for x in left)
     assert sum(x.startswith("spans-hub-") for x in left) > 1 or sum(x.startswith("spans-few-") for x in left) > 1
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_passages_broadcast_nothing_that_grows(spark, monkeypatch):
+    """Compressed files hide the size of rows, so only bitmaps of fixed size are broadcast, in the steps and in the result."""
+    plans, plainly = [], passages.Scratch.stored
+
+    def seen(self, df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plainly(self, df, name)
+
+    monkeypatch.setattr(passages.Scratch, "stored", seen)
+    docs = _near_copies(random.Random(47), 6, 80) + [(100, "x " * 60), (101, "x " * 60)]
+    found = passages.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    joins = [line for p in plans for line in p.splitlines() if "Join" in line]
+    assert any("SortMergeJoin" in x for x in joins)
+    assert all("__bucket" in x for x in joins if "Broadcast" in x)
+    assert found.count() >= 6
